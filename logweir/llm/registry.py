@@ -13,6 +13,14 @@ from logweir.llm.mixing import op7_mixing
 from logweir.llm.topk import op10_top_k
 from logweir.llm.toxicity import op1_toxicity
 
+from logweir.llm.minhash import op9_minhash
+
+from logweir.llm.pii import op8_pii
+
+from logweir.llm.pieces import op4_sentencepiece
+
+from logweir.llm.substrings import op2_substring_dedup
+
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -21,6 +29,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_matroska": op5_matroska,
         "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
+        "op9_minhash": op9_minhash,
+        "op8_pii": op8_pii,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op2_substring_dedup": op2_substring_dedup,
         "op10_top_k": op10_top_k,
     }
 
