@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Links between equal sets need no confirming: each member hangs on the smallest id of its class.
     members = known.select("id", "same").join(head, "same").select("id", "rep")
     reps = known.join(head.select("same", F.col("rep").alias("id")), ["same", "id"]).dropDuplicates(["same"])
-    keys = stored(reps.select("id", "sig", F.explode("bands").alias("key")))
+    keys = stored(reps.select("id", F.explode("bands").alias("key")))
     low = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
     shared = stored(keys.join(low, "key"))
     discard(keys)
@@ -180,17 +180,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             y = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, ROWS * bands * BITS // 8)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(estimate(x, y) >= least))
 
-    star = shared.where("id <> a").select("a", F.col("id").alias("b"), F.col("sig").alias("sb")).dropDuplicates(["a", "b"])
-    star = star.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
+    star = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    star = star.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
     how = {"id_col": id_col, "text_col": text_col, "shingle": shingle, "percent": percent}
     equal = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     first = _confirmed(stored(star), docs, **how)
     root = components(first)
     # Second round: members of one bucket that are still apart.
-    placed = shared.select("key", "id", "sig", "m").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = shared.select("key", "id", "m").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    open_ = placed.join(apart, "key").withColumn("t", F.pmod(F.xxhash64("id"), tiles).cast("int"))
+    open_ = placed.join(apart, "key").join(sig, "id").withColumn("t", F.pmod(F.xxhash64("id"), tiles).cast("int"))
     met = open_.select("key", "id", "root", "sig", "t", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("o"))
     met = met.groupBy("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).agg(F.collect_list(F.struct("id", "root", "sig")).alias("g"))
 
