@@ -1 +1 @@
-"""."""
+"""Fields, timestamps and the format probe."""

@@ -1 +1 @@
-"""."""
+"""Record assembly, parsers, gate, metrics and templates."""

@@ -1 +1 @@
-"""."""
+"""Where lines come from."""
