@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +62,14 @@ def _anchored(texts: list[bytes]):
             yield joined, s, e, shingle_hashes(h, GRAM)[at] >> np.uint64(64 - BITS), lo, hi
 
 
-def _covered(runs: list[tuple[bytes, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """The subtree of one group. runs: words of a context (joined by line feeds), document and number of each of its
-    occurrences. Returns for each run a matrix occurrences by windows: whether the window's node holds a smaller document."""
-    words = [r[0].split(b"\n") for r in runs]
+def _covered(runs: list[tuple[bytes, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subtree of one group. runs: words of a context and the documents that hold it. Returns the windows whose
+    node is deep and holds a document smaller than one of the run's: run, place in it, the node's smallest document."""
+    words = [r[0].split() for r in runs]
     lengths = np.array([len(w) for w in words])
-    number: dict[bytes, int] = {}
-    flat = np.array([number.setdefault(x, len(number)) for w in words for x in w], np.int64)
+    number = {x: n for n, x in enumerate(set(chain.from_iterable(words)))}
+    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+    del words
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     # Ranks of prefixes of 1, 2, 4, 8 and WINDOW words, level by level; a run's last places reach past its end and are not asked for.
     def level(x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
@@ -89,8 +91,13 @@ def _covered(runs: list[tuple[bytes, np.ndarray, np.ndarray]]) -> list[np.ndarra
     low = np.array([r[1].min() for r in runs])
     least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, node, np.repeat(low, lengths - WINDOW + 1))
-    ends = np.cumsum(lengths - WINDOW + 1)
-    return [least[node[e - n : e]][None, :] < r[1][:, None] for r, e, n in zip(runs, ends, lengths - WINDOW + 1)]
+    # Of every run (row, first word of a window relative to the run's first): occurrences with a larger document.
+    n = lengths - WINDOW + 1
+    run = np.repeat(np.arange(len(runs)), n)
+    shift = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    high = np.array([r[1].max() for r in runs])
+    some = np.flatnonzero(least[node] < high[run])
+    return run[some], shift[some], least[node[some]]
 
 
 def covered_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,30 +172,32 @@ def covered_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 st = state[np.searchsorted(keys, k)]
                 for r in np.flatnonzero(st):
                     if st[r] == 1:
-                        piece = b"\n".join(joined[s[lo[r]] : e[hi[r] + WINDOW - 1]].split())
+                        piece = joined[s[lo[r]] : e[hi[r] + WINDOW - 1]]
                         found.setdefault((int(k[r]) * n_groups >> BITS, piece), []).append((d, int(ids[d]), int(lo[r])))
                     else:  # a longer prefix: each window by itself, dealt by all its words
                         for w in range(lo[r], hi[r] + 1):
-                            piece = b"\n".join(joined[s[w] : e[w + WINDOW - 1]].split())
-                            g = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big") * n_groups >> 64
+                            piece = joined[s[w] : e[w + WINDOW - 1]]
+                            g = int.from_bytes(hashlib.blake2b(b" ".join(piece.split()), digest_size=8).digest(), "big") * n_groups >> 64
                             found.setdefault((g, piece), []).append((d, int(ids[d]), w))
         block = table.column("block")[0].as_py() if table.num_rows else 0
-        by_group: dict[int, tuple[list[bytes], list[int], list[np.ndarray]]] = {}
+        by_group: dict[int, tuple[list[bytes], list[int], list[tuple[int, int, int]]]] = {}
         for (g, piece), places in found.items():
             t, c, o = by_group.setdefault(g, ([], [], []))
             t.append(piece)
             c.append(len(places))
-            o.append(np.array(places, np.int64))
+            o += places
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
         out = list(by_group)
+        texts_of = [b"\0".join(by_group[g][0]) for g in out]
+        framed = [t.count(b"\0") != len(by_group[g][0]) - 1 for g, t in zip(out, texts_of)]
         return pa.table({
             "group": pa.array(out, pa.int32()), "block": pa.array([block] * len(out), pa.int32()),
-            "text": pa.array([z.compress(b"\0".join(by_group[g][0])) if b"\0" not in b"".join(by_group[g][0]) else z.compress(_framed(by_group[g][0])) for g in out], pa.binary()),
-            "framed": pa.array([b"\0" in b"".join(by_group[g][0]) for g in out], pa.bool_()),
+            "text": pa.array([z.compress(_framed(by_group[g][0]) if f else t) for g, t, f in zip(out, texts_of, framed)], pa.binary()),
+            "framed": pa.array(framed, pa.bool_()),
             "counts": pa.array([by_group[g][1] for g in out], pa.list_(pa.int32())),
-            "places": pa.array([z.compress(np.concatenate(by_group[g][2]).tobytes()) for g in out], pa.binary()),
+            "places": pa.array([z.compress(np.array(by_group[g][2], np.int64).tobytes()) for g in out], pa.binary()),
         })
 
     def grow(table: pa.Table) -> pa.Table:
@@ -196,20 +205,27 @@ def covered_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        runs, owner = [], []
+        runs, owner, where = [], [], []
         for b, t, framed, counts, places in zip(*(table.column(c).to_pylist() for c in ("block", "text", "framed", "counts", "places"))):
             pieces = _unframed(z.decompress(t)) if framed else z.decompress(t).split(b"\0")
             p = np.frombuffer(z.decompress(places), np.int64).reshape(-1, 3)
             at = 0
             for piece, c in zip(pieces, counts):
-                runs.append((piece, p[at : at + c, 1], p[at : at + c]))
-                owner.append(b)
+                runs.append((piece, p[at : at + c, 1]))
                 at += c
-        out: dict[int, list[np.ndarray]] = {}
-        for b, r, hit in zip(owner, runs, _covered(runs)):
-            row, w = np.nonzero(hit)
-            if len(row):
-                out.setdefault(b, []).append(np.stack([r[2][row, 0], r[2][row, 2] + w], 1))
+            where.append(p)
+            owner.append(np.full(len(p), b))
+        count = np.array([len(r[1]) for r in runs])
+        run, shift, least = _covered(runs)
+        # Each window found, for each occurrence of its run.
+        places, owner = np.concatenate(where), np.concatenate(owner)
+        n = count[run]
+        occurrence = np.repeat((np.cumsum(count) - count)[run], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        later = np.repeat(least, n) < places[occurrence, 1]
+        occurrence, first = occurrence[later], np.repeat(shift, n)[later]
+        hit = np.stack([places[occurrence, 0], places[occurrence, 2] + first], 1)
+        of = owner[occurrence]
+        out: dict[int, list[np.ndarray]] = {int(b): [hit[of == b]] for b in np.unique(of)}
         zc = zstandard.ZstdCompressor(level=1)
         return pa.table({"block": pa.array(list(out), pa.int32()), "hits": pa.array([zc.compress(np.concatenate(x).astype(np.int32).tobytes()) for x in out.values()], pa.binary())})
 
