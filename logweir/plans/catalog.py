@@ -94,6 +94,8 @@ def _parsed(kind: int, names: list[str]):
         if kind == 6:
             out = out.where((F.col("line_no") - 1) % 14 == 13)
         shown = {f: F.date_format(X.known_value(F.col(f)), "yyyy-MM-dd HH:mm:ss") if f == "timestamp" else X.known_value(F.col(f)) for f in names}
+        if kind == 5:
+            shown["status"] = F.coalesce(shown["status"], F.lit(0))
         return out.select("line_no", "parser", *[c.alias(f) for f, c in shown.items()])
 
     return query
@@ -266,7 +268,7 @@ def core_oracle_sql() -> dict[str, str]:
             elif name == "parsed_bsd" and f == "message":
                 columns.append("strftime(ts, '%b %d %H:%M:%S') || ' host worker[' || user_id || ']: ' || message AS message")
             elif name == "parsed_tokens" and f == "status":
-                columns.append("CASE WHEN user_id BETWEEN 100 AND 599 THEN user_id END AS status")
+                columns.append("CASE WHEN user_id BETWEEN 100 AND 599 THEN user_id ELSE 0 END AS status")
             else:
                 columns.append({"latency_ms": "ms AS latency_ms"}.get(f, f))
         parsed[name] = f"{_TRUTH} SELECT line_no, parser, {', '.join(columns)} FROM r WHERE {where}"
