@@ -39,6 +39,8 @@ TILE = 256
 FEW = 16
 #: Smallest shingle hashes of a set that a tile holds.
 LEAST = 512
+#: Ids up to which a semi join broadcasts them, about 32 MB; beyond, both sides are shuffled.
+SENT = 1_000_000
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 5.0
 
@@ -110,9 +112,14 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, ban
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n long, same binary, sig binary, bands array<long>")
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, shingle: int, most: int | None = None) -> DataFrame:
-    """w and s (the sorted hashes of its set, or the `most` smallest of them) of each id w in `wanted`."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("w"), F.col(text_col).alias("t")).join(wanted, "w", "left_semi").dropDuplicates(["w"])
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those rows whose w is in `wanted`, without shuffling the rows where few enough are wanted."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "w", "left_semi")
+
+
+def _sets_of(wanted: DataFrame, pool: DataFrame, *, shingle: int, most: int | None = None) -> DataFrame:
+    """w and s (the sorted hashes of its set, or the `most` smallest of them) of each id w in `wanted`. pool: w, t (text)."""
+    chosen = _among(pool, wanted).dropDuplicates(["w"])
 
     def run(batches):
         for rows in batches:
@@ -141,7 +148,7 @@ def _reach(k: int, others: np.ndarray, flat: np.ndarray, ends: np.ndarray, mark:
     return np.where(whole, 100 * common >= percent * union, common >= (p - SLACK * (p * (1 - p) / union) ** 0.5) * union), whole
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, *, percent: int, **how) -> DataFrame:
+def _confirmed(pairs: DataFrame, pool: DataFrame, *, shingle: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
 
@@ -158,7 +165,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, *, percent: int, **how) -> Dat
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = _sets_of(wanted, docs, **how)
+    sets = _sets_of(wanted, pool, shingle=shingle)
     both = pairs.join(sets.select(F.col("w").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("w").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
     out = stored(both.mapInArrow(check, "a long, b long"))
     discard(sets)
@@ -205,6 +212,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     large = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = stored(keys.join(large, "key"))
     discard(keys)
+    # The texts that any later step can ask for.
+    pool = stored(_among(docs.select(F.col(id_col).cast("long").alias("w"), F.col(text_col).alias("t")), shared.select(F.col("id").alias("w")).distinct()))
     sig = reps.select("id", "n", "sig")
     least, width = _least(percent / 100, SKETCH), SKETCH * BITS // 8
 
@@ -214,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             y = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint8).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(estimate(x, y) >= least))
 
-    how = {"id_col": id_col, "text_col": text_col, "shingle": shingle, "percent": percent}
+    how = {"shingle": shingle, "percent": percent}
     equal = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     links, tested, placed = None, None, shared.withColumn("root", F.col("id"))
     for pick in (F.min, F.max, lambda x: F.min_by(x, F.xxhash64(x))):
@@ -224,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
         pairs = stored(pairs.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long"))
-        found = _confirmed(pairs, docs, **how)
+        found = _confirmed(pairs, pool, **how)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         placed = shared.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "m", "root")
@@ -232,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     open_ = stored(placed.join(apart, "key").withColumn("t", F.pmod(F.xxhash64("id"), tiles).cast("int")))
-    low = _sets_of(open_.where(F.col("m") > FEW).select(F.col("id").alias("w")).distinct(), docs, id_col=id_col, text_col=text_col, shingle=shingle, most=LEAST)
+    low = _sets_of(open_.where(F.col("m") > FEW).select(F.col("id").alias("w")).distinct(), pool, shingle=shingle, most=LEAST)
     held = open_.join(sig, "id").join(low.select(F.col("w").alias("id"), "s"), "id", "left").withColumn("s", F.when(F.col("m") > FEW, F.col("s")))
     met = held.select("key", "id", "root", "n", "sig", "s", "t", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("o"))
     met = met.groupBy("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).agg(F.collect_list(F.struct("id", "root", "n", "sig", "s")).alias("g"))
@@ -277,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     more = stored(met.select("g").mapInArrow(across, "a long, b long, sure boolean").distinct())
     rest = stored(more.where("not sure").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-    roots = components(links.union(more.where("sure").select("a", "b")).union(_confirmed(rest, docs, **how)).union(equal))
+    roots = components(links.union(more.where("sure").select("a", "b")).union(_confirmed(rest, pool, **how)).union(equal))
     out = table.select("id", "n").join(roots, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
