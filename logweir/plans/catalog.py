@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweir.config import Config
@@ -88,13 +88,21 @@ def format_probe(spark, sf_dir):
     return _records(spark, sf_dir).select("line_no", probe(F.col("raw")).alias("p")).select("line_no", "p.hint", "p.confidence")
 
 
-def _parsed(kind: int, names: list[str]):
+def _claimed() -> Column:
+    """The query that shows a record: by the parser that claimed it, and for the token scan by the time that it found."""
+    name, time = F.regexp_extract("parser", "^([^+]*)", 1), F.col("timestamp")
+    scanned = F.when(time["state"] != "known", "parsed_untimed").when(time["source"] == "syslog_assumption", "parsed_bsd").otherwise("parsed_tokens")
+    return F.when(name == "tokenExtractor", scanned).otherwise(F.concat(F.lit("parsed_"), name))
+
+
+def _parsed(query_name: str, names: list[str]):
+    """Parses every record; shows those that the parser claims, so that a line taken by a wrong parser comes out."""
+
     def query(spark, sf_dir):
-        out = parse(_records(spark, sf_dir).where((F.col("line_no") - 1) % 7 == kind), CONFIG)
-        if kind == 6:
-            out = out.where((F.col("line_no") - 1) % 14 == 13)
+        out = parse(_records(spark, sf_dir), CONFIG)
+        out = out.where(_claimed() == query_name)
         shown = {f: F.date_format(X.known_value(F.col(f)), "yyyy-MM-dd HH:mm:ss") if f == "timestamp" else X.known_value(F.col(f)) for f in names}
-        if kind == 5:
+        if query_name in ("parsed_tokens", "parsed_untimed"):
             shown["status"] = F.coalesce(shown["status"], F.lit(0))
         return out.select("line_no", "parser", *[c.alias(f) for f, c in shown.items()])
 
@@ -233,7 +241,7 @@ _PARSED = {
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [error_rate_overall, error_rate_buckets, error_rate_late, error_anomalies, latency_percentiles, endpoint_table, endpoint_overflow, endpoint_trend, format_probe, timestamp_families, quarantine_split, quarantine_strict, quarantine_forensics, quarantine_reasons, quarantine_context, record_groups, format_distribution, format_drift, file_profile, data_quality, time_span, reference_years, keywords_top, activity_keys, error_templates, error_tree, health_badge, stream_error_rate]
-    made = {name: _parsed(*how) for name, how in _PARSED.items()}
+    made = {name: _parsed(name, names) for name, (_, names) in _PARSED.items()} | {"parsed_untimed": _parsed("parsed_untimed", ["status", "message"])}
     reports = {"summary_report": _report(R.summary), "json_report": _report(lambda t: R.document(t, CONFIG)), "insights": _report(R.insights), "rate_bars": _report(lambda t: R.bars(t["error_series"]))}
     return {f.__name__: f for f in plain} | made | reports
 
@@ -272,6 +280,7 @@ def core_oracle_sql() -> dict[str, str]:
             else:
                 columns.append({"latency_ms": "ms AS latency_ms"}.get(f, f))
         parsed[name] = f"{_TRUTH} SELECT line_no, parser, {', '.join(columns)} FROM r WHERE {where}"
+    parsed["parsed_untimed"] = f"{_TRUTH} SELECT line_no, parser, CASE WHEN user_id BETWEEN 100 AND 599 THEN user_id ELSE 0 END AS status, 'no time here ' || message AS message FROM r WHERE NOT ok"
     return parsed | {
         "error_rate_overall": f"{_TRUTH} SELECT count(*) AS total, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS quarantined, count(*) FILTER (ok AND err) AS errors, round(count(*) FILTER (ok AND err) / count(*) FILTER (ok)::DOUBLE, 9) AS error_rate FROM r",
         "error_rate_buckets": f"{_TRUTH}, k AS (SELECT {six} AS b, err FROM r WHERE ok), {series} SELECT bucket, n, hits, round(rate, 9) AS rate FROM s",
