@@ -38,3 +38,10 @@ def test_parsed_queries_go_by_parser_and_not_by_place(spark, monkeypatch):
     want = {name: C.core_queries()[name](spark, SF).count() for name in ("parsed_json", "parsed_bsd")}
     monkeypatch.setattr(C, "_records", lambda *_: moved)
     assert {name: C.core_queries()[name](spark, SF).count() for name in want} == want
+
+
+def test_latency_percentiles_of_all_records(spark, duck):
+    """JSON, key=value and pipes carry a latency; where the scan takes a user's number for a status, its latency is unknown."""
+    p = ", ".join(f"round(quantile_cont(ms, {q}), 6) AS p{n}" for q, n in ((0.5, 50), (0.95, 95), (0.99, 99)))
+    want = duck.sql(f"{C._TRUTH} SELECT count(ms) AS n, 0::BIGINT AS n_low, count(*) - count(ms) AS n_unknown, {p}, round(min(ms), 6) AS min, round(max(ms), 6) AS max FROM (SELECT kind, ok, user_id, CASE WHEN kind IN (0, 3, 4) THEN ms END AS ms FROM r) WHERE kind IN (0, 3, 4) OR (kind >= 5 AND ok AND user_id BETWEEN 100 AND 599)").df()
+    same(C.core_queries()["latency_percentiles"](spark, SF), want)
