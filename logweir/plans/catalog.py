@@ -167,7 +167,7 @@ def file_profile(spark, sf_dir):
 
 
 def data_quality(spark, sf_dir):
-    return M.data_quality(_gated(spark, sf_dir).where((F.col("line_no") - 1) % 7 <= 1)).select("field", "known", "unknown", "absent", F.round("known_rate", 9).alias("known_rate"))
+    return M.data_quality(_gated(spark, sf_dir)).select("field", "known", "unknown", "absent", *[F.round(c, 9).alias(c) for c in ("known_rate", "mean_confidence")])
 
 
 def time_span(spark, sf_dir):

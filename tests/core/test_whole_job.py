@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from logweir.functions import fields as X
 from logweir.plans import catalog as C
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,15 @@ def test_latency_percentiles_of_all_records(spark, duck):
     p = ", ".join(f"round(quantile_cont(ms, {q}), 6) AS p{n}" for q, n in ((0.5, 50), (0.95, 95), (0.99, 99)))
     want = duck.sql(f"{C._TRUTH} SELECT count(ms) AS n, 0::BIGINT AS n_low, count(*) - count(ms) AS n_unknown, {p}, round(min(ms), 6) AS min, round(max(ms), 6) AS max FROM (SELECT kind, ok, user_id, CASE WHEN kind IN (0, 3, 4) THEN ms END AS ms FROM r) WHERE kind IN (0, 3, 4) OR (kind >= 5 AND ok AND user_id BETWEEN 100 AND 599)").df()
     same(C.core_queries()["latency_percentiles"](spark, SF), want)
+
+
+def test_data_quality_of_all_records(spark, duck):
+    records = [r.asDict(True) for r in C._gated(spark, SF).collect()]
+    want = {}
+    for f in X.TYPES:
+        n = {s: [r[f]["confidence"] for r in records if r[f]["state"] == s] for s in ("known", "unknown", "absent")}
+        want[f] = (*map(len, n.values()), round(len(n["known"]) / len(records), 9), round(sum(n["known"]) / max(len(n["known"]), 1), 9))
+    got = {r.field: (r.known, r.unknown, r.absent, r.known_rate, r.mean_confidence) for r in C.core_queries()["data_quality"](spark, SF).collect()}
+    assert set(got) == set(want) and all(got[f] == pytest.approx(want[f]) for f in want)
+    total, ok, ms = duck.sql(f"{C._TRUTH} SELECT count(*), count(*) FILTER (ok), count(*) FILTER (kind IN (0, 3, 4)) FROM r").fetchall()[0]
+    assert got["timestamp"][:3] == (ok, 0, total - ok) and got["latency_ms"][0] == ms and got["message"][0] + got["message"][2] == total
