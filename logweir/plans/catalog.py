@@ -20,7 +20,7 @@ from logweir.operators import templates as T
 from logweir.operators.parsers import parse
 from logweir.operators.records import assemble
 from logweir.plans import reports as R
-from logweir.plans.engine import gated, tables
+from logweir.plans.engine import anomalies, gated, tables
 from logweir.sources.render import rendered
 from logweir.sources.text import reference_year
 from logweir.streaming.rates import run_available
@@ -199,9 +199,9 @@ def error_tree(spark, sf_dir):
 
 
 def health_badge(spark, sf_dir):
-    rows = _gated(spark, sf_dir)
-    none = spark.createDataFrame([], "metric string")
-    return R.health(M.totals(rows), none).select("health", "total", F.round("error_rate", 9).alias("error_rate"), F.round("quarantine_rate", 9).alias("quarantine_rate"))
+    rows = _gated(spark, sf_dir).cache()
+    found = anomalies(M.accepted_series(rows, CONFIG), M.quarantine_series(rows, CONFIG))
+    return R.health(M.totals(rows), found).select("health", "total", F.round("error_rate", 9).alias("error_rate"), F.round("quarantine_rate", 9).alias("quarantine_rate"))
 
 
 def _report(make):

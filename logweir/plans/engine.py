@@ -18,6 +18,12 @@ def gated(records: DataFrame, config: Config) -> DataFrame:
     return G.gate(parse(records, config), config)
 
 
+def anomalies(errors: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """Anomalies of the error-rate and the quarantine-rate series, by `metric`."""
+    found = M.anomalies(errors, 5.0).withColumn("metric", F.lit("error_rate"))
+    return found.unionByName(M.anomalies(quarantine, 3.0).withColumn("metric", F.lit("quarantine_rate"))).orderBy("bucket")
+
+
 def tables(parsed: DataFrame, config: Config) -> dict[str, DataFrame]:
     """Every metric of a gated frame; cache or store it first, as each table reads it."""
     errors = M.accepted_series(parsed, config)
@@ -27,7 +33,7 @@ def tables(parsed: DataFrame, config: Config) -> dict[str, DataFrame]:
         "totals": M.totals(parsed),
         "error_series": errors,
         "quarantine_series": quarantine,
-        "anomalies": M.anomalies(errors, 5.0).withColumn("metric", F.lit("error_rate")).unionByName(M.anomalies(quarantine, 3.0).withColumn("metric", F.lit("quarantine_rate"))).orderBy("bucket"),
+        "anomalies": anomalies(errors, quarantine),
         "latency": M.latency(parsed),
         "endpoints": M.endpoints(M.endpoint_rows(parsed), config.max_endpoints),
         "error_templates": T.by_tree(T.errors(parsed)),

@@ -58,3 +58,14 @@ def test_data_quality_of_all_records(spark, duck):
     assert set(got) == set(want) and all(got[f] == pytest.approx(want[f]) for f in want)
     total, ok, ms = duck.sql(f"{C._TRUTH} SELECT count(*), count(*) FILTER (ok), count(*) FILTER (kind IN (0, 3, 4)) FROM r").fetchall()[0]
     assert got["timestamp"][:3] == (ok, 0, total - ok) and got["latency_ms"][0] == ms and got["message"][0] + got["message"][2] == total
+
+
+@pytest.mark.parametrize("spike, badge", [(3, "DEGRADED"), (0, "HEALTHY")])
+def test_health_badge_sees_error_spikes(spark, monkeypatch, spike, badge):
+    """40 windows of 20 lines; errors in the last alone, below 2 % of all."""
+    level = F.when((F.col("id") >= 780) & (F.col("id") < 780 + spike), "ERROR").otherwise("INFO")
+    time = F.date_format(F.timestamp_seconds(1_704_067_200 + F.floor(F.col("id") / 20) * C.CONFIG.bucket_seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lines = spark.range(800).select(F.lit("f").alias("file"), (F.col("id") + 1).alias("line_no"), F.concat(F.lit("time="), time, F.lit(" level="), level, F.lit(" msg=x")).alias("raw"), F.lit(1).alias("n_lines"))
+    monkeypatch.setattr(C, "_records", lambda *_: lines)
+    row = C.core_queries()["health_badge"](spark, SF).first()
+    assert (row.health, row.total) == (badge, 800) and row.error_rate == spike / 800
