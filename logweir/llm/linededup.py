@@ -7,7 +7,8 @@ zeros in it, as first and last line. Documents that keep all their lines have no
 
 A text that is null or empty is one empty line. Ties do not arise: of the documents that hold a key, the one
 with the largest id keeps it. Rows that share an id are one document each in the output, but count as one
-document where documents are counted; a null id counts as smaller than any other.
+document where documents are counted; a null id counts as smaller than any other. Lines to drop are carried with
+a digest of their row's text, as positions in one text say nothing about another text of the same id.
 """
 
 from __future__ import annotations
@@ -24,32 +25,34 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_length: int) -> DataFrame:
-    """id, line (position), h1, h2 of the lines that are long enough to count."""
+    """id, digest (of the text), line (position), h1, h2 of the lines that are long enough to count."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    # The digest comes before the split: once a text, not once a line.
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.alias("t"))
+    lines = texts.select("id", "digest", F.posexplode(F.split("t", "\n")).alias("line", "raw"))
     key = F.translate(F.btrim("raw", F.lit(_CUT)), _UPPER, _LOWER)
     # 128 bits of hash stand for a key.
-    return lines.where(F.char_length("raw") >= min_length).withColumn("key", key).where(F.char_length("key") >= min_length).select("id", "line", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.reverse("key")).alias("h2"))
+    return lines.where(F.char_length("raw") >= min_length).withColumn("key", key).where(F.char_length("key") >= min_length).select("id", "digest", "line", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.reverse("key")).alias("h2"))
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """id and line of each line to drop."""
+    """id, digest and line of each line to drop."""
     rows = _lines(docs, id_col, text_col, min_length)
     dealt = rows.repartitionByRange(parallelism(docs.sparkSession), "h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "line")
     # A task holds all rows of a (hash, id) pair in order; their count needs no further exchange.
     in_doc = dealt.groupBy("h1", "h2", "id").agg(F.min("line").alias("first"))
     # Tasks add up their own documents first: a hot hash sends one row from each task.
     spread = in_doc.groupBy("h1", "h2").agg(F.count("first").alias("n_docs"), F.max(F.coalesce("id", F.lit(-(2**63)))).alias("keeper")).where(F.col("n_docs") >= min_docs)
-    return rows.join(spread, ["h1", "h2"]).where(F.coalesce("id", F.lit(-(2**63))) < F.col("keeper")).select("id", "line")
+    return rows.join(spread, ["h1", "h2"]).where(F.coalesce("id", F.lit(-(2**63))) < F.col("keeper")).select("id", "digest", "line")
 
 
 def bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
-    """id and `keep`, the compressed bitmap, of each document that loses lines."""
+    """id, digest and `keep`, the compressed bitmap, of each text that loses lines."""
     lost = dropped_lines(docs, id_col=id_col, text_col=text_col, min_length=min_length, min_docs=min_docs)
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("line"))
+    nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy("line"))
     # Lines that follow each other differ from their rank by the same number.
-    runs = lost.distinct().withColumn("run", F.col("line") - nth).groupBy("id", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"))
-    return runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("keep"))
+    runs = lost.distinct().withColumn("run", F.col("line") - nth).groupBy("id", "digest", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    return runs.groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("keep"))
 
 
 def dropped_at(keep: Column) -> Column:
@@ -59,12 +62,12 @@ def dropped_at(keep: Column) -> Column:
 
 def apply(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:
     """All rows and columns of `docs`, and `_lines` (count before), `_dropped` (count) and `_kept` (the text that stays)."""
-    lost = bitmaps(docs, id_col=id_col, text_col=text_col, min_length=min_length, min_docs=min_docs).select(F.col("id").alias("_id"), dropped_at(F.col("keep")).alias("_at"))
+    lost = bitmaps(docs, id_col=id_col, text_col=text_col, min_length=min_length, min_docs=min_docs).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), dropped_at(F.col("keep")).alias("_at"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_digest")), "left")
     kept = F.when(F.col("_at").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("_at"), i)), "\n"))
     n_lines = F.size(F.split(text, "\n")).cast("long")
-    return joined.withColumns({"_lines": n_lines, "_dropped": F.coalesce(F.array_size("_at"), F.lit(0)).cast("long"), "_kept": kept}).drop("_id", "_at")
+    return joined.withColumns({"_lines": n_lines, "_dropped": F.coalesce(F.array_size("_at"), F.lit(0)).cast("long"), "_kept": kept}).drop("_id", "_digest", "_at")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

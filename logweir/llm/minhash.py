@@ -16,6 +16,7 @@ which the pipeline takes 32 bands: 5e-8).
 
 Texts that are null or without words have empty sets and are linked with nothing. Fewer words than a shingle has
 form one shingle. Rows that share an id, or have a null id, are returned each; links of an id count for all its rows.
+Until the links are found, a text goes by w, 64 bits of hash, so that each text of a repeated id is compared.
 """
 
 from __future__ import annotations
@@ -88,14 +89,14 @@ def _least(threshold: float, n: int) -> float:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bands: int) -> DataFrame:
-    """id, n (set size), same (digest of the set), sig and bands (keys), a row for each row of `docs`."""
+    """id, w (hash of the text), n (set size), same (digest of the set), sig and bands (keys), a row for each row of `docs`."""
 
     def run(batches):
         a, b = _functions(max(SKETCH, ROWS * bands))
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for rows in batches:
             n, same, sig, keys = [], [], [], []
-            for items in _sets(rows.column(1).to_pylist(), shingle):
+            for items in _sets(rows.column(2).to_pylist(), shingle):
                 n.append(len(items))
                 if not len(items):
                     same.append(None), sig.append(None), keys.append(None)
@@ -107,9 +108,9 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, ban
                 for c in m[: ROWS * bands].reshape(bands, ROWS).T:
                     k = mix(k * np.uint64(0xD6E8FEB86659FD93) + c)
                 keys.append(k.view(np.int64))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "same", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "w", "n", "same", "sig", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, n long, same binary, sig binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("w"), F.col(text_col).alias("t")).mapInArrow(run, "id long, w long, n long, same binary, sig binary, bands array<long>")
 
 
 def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, pool: DataFrame, *, shingle: int, most: int | None = None) -> DataFrame:
-    """w and s (the sorted hashes of its set, or the `most` smallest of them) of each id w in `wanted`. pool: w, t (text)."""
+    """w and s (the sorted hashes of its set, or the `most` smallest of them) of each w in `wanted`. pool: w, t (text)."""
     chosen = _among(pool, wanted).dropDuplicates(["w"])
 
     def run(batches):
@@ -204,16 +205,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession, 256)
     table = stored(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle, bands=bands))
     known = table.where("n > 0 and id is not null")
-    head = known.groupBy("same").agg(F.min("id").alias("rep"))
+    head = known.groupBy("same").agg(F.min("id").alias("rep"), F.min("w").alias("w"))
     # Links between equal sets need no confirming: each member hangs on the smallest id of its class.
     members = known.select("id", "same").join(head, "same").select("id", "rep")
-    reps = known.join(head.select("same", F.col("rep").alias("id")), ["same", "id"]).dropDuplicates(["same"])
+    # One text stands for a class until its links are found; `rep_of` leads back from it to the id.
+    reps = known.drop("id").join(head.select("same", "w"), ["same", "w"]).dropDuplicates(["same"]).withColumnRenamed("w", "id")
+    rep_of = head.select("w", "rep")
     keys = stored(reps.select("id", F.explode("bands").alias("key")))
     large = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = stored(keys.join(large, "key"))
     discard(keys)
     # The texts that any later step can ask for.
-    pool = stored(_among(docs.select(F.col(id_col).cast("long").alias("w"), F.col(text_col).alias("t")), shared.select(F.col("id").alias("w")).distinct()))
+    pool = stored(_among(docs.select(F.xxhash64(text_col).alias("w"), F.col(text_col).alias("t")), shared.select(F.col("id").alias("w")).distinct()))
     sig = reps.select("id", "n", "sig")
     least, width = _least(percent / 100, SKETCH), SKETCH * BITS // 8
 
@@ -286,7 +289,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     more = stored(met.select("g").mapInArrow(across, "a long, b long, sure boolean").distinct())
     rest = stored(more.where("not sure").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-    roots = components(links.union(more.where("sure").select("a", "b")).union(_confirmed(rest, pool, **how)).union(equal))
+    linked = links.union(more.where("sure").select("a", "b")).union(_confirmed(rest, pool, **how))
+    linked = linked.join(rep_of.toDF("a", "ra"), "a").join(rep_of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    roots = components(linked.union(equal))
     out = table.select("id", "n").join(roots, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
