@@ -89,15 +89,24 @@ def fit_texts(texts: list[str], langs: list[str], ridge: float = 1e-2) -> dict:
 
 
 def predict_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray]:
-    langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    return judge_texts(texts, model)[:2]
+
+
+def judge_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages and scores, and what tells a text of a learned language from others: the margin of its class value over
+    the second (of one language alone: over the value's negative) and the greatest kernel value to a landmark."""
+    langs, scores, margins, nearest = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model["names"] else []
     if at:
-        value = _kernel([texts[i] for i in at], model["landmarks"].astype(np.float32)) @ model["alpha"]
+        kernel = _kernel([texts[i] for i in at], model["landmarks"].astype(np.float32))
+        value = kernel @ model["alpha"]
         best = value.argmax(1)
         for i, k in zip(at, best):
             langs[i] = model["names"][k]
         scores[at] = np.clip((value[np.arange(len(at)), best] + 1) / 2, 0, 1)
-    return langs, scores
+        top = np.sort(value if value.shape[1] > 1 else np.hstack([value, -value]), 1)
+        margins[at], nearest[at] = top[:, -1] - top[:, -2], kernel.max(1)
+    return langs, scores, margins, nearest
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
@@ -114,7 +123,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns id, lang_pred and score, a row for each row of `docs`; `keep` names columns of `docs` to carry along."""
+    """Columns id, lang_pred, score, margin and kernel (see `judge_texts`), a row for each row of `docs`; `keep` names columns of `docs` to carry along."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: landmarks times 2**BITS bytes
     small_batches(docs.sparkSession)
     kept = keep or []
@@ -123,11 +132,11 @@ def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for rows in batches:
-            langs, scores = predict_texts(rows.column(0).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*rows.schema.names[1:], "lang_pred", "score"])
+            langs, *numbers = judge_texts(rows.column(0).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(langs, pa.string()), *[pa.array(x, pa.float64()) for x in numbers]], names=[*rows.schema.names[1:], "lang_pred", "score", "margin", "kernel"])
 
-    out = source.mapInArrow(run, ", ".join(["_id long", *[f"_k{i} {t}" for i, t in enumerate(types)], "lang_pred string", "score double"]))
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score")
+    out = source.mapInArrow(run, ", ".join(["_id long", *[f"_k{i} {t}" for i, t in enumerate(types)], "lang_pred string", "score double", "margin double", "kernel double"]))
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score", "margin", "kernel")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

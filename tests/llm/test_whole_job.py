@@ -4,8 +4,9 @@ import itertools
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
-from logweir.llm import linededup, minhash
+from logweir.llm import linededup, minhash, stages
 
 LINE = "A line that many documents share, word for word."
 
@@ -37,3 +38,23 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
             a, b = sorted((root[i], root[j]))
             root = {k: a if v == b else v for k, v in root.items()}
     assert got == {*root.items(), (None, None)} and sum(v < 4 for v in root.values()) == 15
+
+
+def test_language_stage_rejects_gibberish_and_unlearned_languages(spark):
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    random_text = lambda chars, n: " ".join("".join(rng.choice(chars) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    texts = [random_text(chars, n) for n in (3, 20, 200) for chars in ("abcdefghijklmnopqrstuvwxyz", "abcxyz#@!%&*()[]{};:<>/?1234567890")]
+    texts += ["Быстрая коричневая лиса прыгает через ленивую собаку", "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", "敏捷的棕色狐狸跳过了懒狗然后跑进了森林", "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään jossa muut eläimet asuvat"]
+    # Without a stated language, so that no fit reads them.
+    foreign = spark.createDataFrame([(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stages.language(spark, docs.select(*stages.COLUMNS).unionByName(foreign), "").select("doc_id", "lang").collect()
+    assert not [r.doc_id for r in kept if r.doc_id >= 10_000_000]
+    stated = {r.doc_id: r.lang for r in docs.where(F.col("text").rlike("\\p{L}") & F.col("lang").isNotNull()).collect()}
+    assert sum(r.doc_id in stated for r in kept) >= 0.98 * len(stated)
+    assert sum(stated.get(r.doc_id) == r.lang for r in kept) >= 0.98 * len(kept)
+    # French, where only the others are learned.
+    unlearned = docs.select(*stages.COLUMNS).withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))
+    passed = stages.language(spark, unlearned, "").select("doc_id").collect()
+    french = {i for i, x in stated.items() if x == "fr"}
+    assert sum(r.doc_id in french for r in passed) <= 0.05 * len(french)
