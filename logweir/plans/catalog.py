@@ -21,9 +21,9 @@ from logweir.operators.parsers import parse
 from logweir.operators.records import assemble
 from logweir.plans import reports as R
 from logweir.plans.engine import anomalies, gated, tables
-from logweir.sources.render import rendered
+from logweir.sources.render import render, rendered
 from logweir.sources.text import reference_year
-from logweir.streaming.rates import run_available
+from logweir.streaming.rates import error_windows, run_available
 
 #: `events` are minutes apart: six hours a bucket.
 CONFIG = Config(reference_year=2024, bucket_seconds=21_600)
@@ -214,14 +214,24 @@ def _report(make):
 
 def stream_error_rate(spark, sf_dir):
     """The same windows as a batch, from a stream of `events` processed to its end."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith(".parquet") or _is_dir(spark, path) else f"{sf_dir}/events.parque[t]")
+    stream = _stream(spark, sf_dir)
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("error")).withWatermark("ts", "0 seconds")
     out = rows.groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.count_if("error").alias("hits"))
     return run_available(out.select(F.unix_timestamp("w.start").alias("bucket"), "n", "hits"), f"stream_error_rate_{abs(hash(sf_dir))}")
 
 
+def stream_log_error_rate(spark, sf_dir):
+    """Lines rendered from a stream of `events`, parsed, gated and counted in windows; no row is late in complete mode."""
+    lines = render(spark, _stream(spark, sf_dir)).select("file", "line_no", F.col("value").alias("raw"), F.lit(1).alias("n_lines"))
+    return run_available(error_windows(gated(lines, CONFIG), CONFIG), f"stream_log_error_rate_{abs(hash(sf_dir))}")
+
+
+def _stream(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith(".parquet") or _is_dir(spark, path) else f"{sf_dir}/events.parque[t]")
+
+
 def _is_dir(spark, path):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -239,7 +249,7 @@ _PARSED = {
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = [error_rate_overall, error_rate_buckets, error_rate_late, error_anomalies, latency_percentiles, endpoint_table, endpoint_overflow, endpoint_trend, format_probe, timestamp_families, quarantine_split, quarantine_strict, quarantine_forensics, quarantine_reasons, quarantine_context, record_groups, format_distribution, format_drift, file_profile, data_quality, time_span, reference_years, keywords_top, activity_keys, error_templates, error_tree, health_badge, stream_error_rate]
+    plain = [error_rate_overall, error_rate_buckets, error_rate_late, error_anomalies, latency_percentiles, endpoint_table, endpoint_overflow, endpoint_trend, format_probe, timestamp_families, quarantine_split, quarantine_strict, quarantine_forensics, quarantine_reasons, quarantine_context, record_groups, format_distribution, format_drift, file_profile, data_quality, time_span, reference_years, keywords_top, activity_keys, error_templates, error_tree, health_badge, stream_error_rate, stream_log_error_rate]
     made = {name: _parsed(name, names) for name, (_, names) in _PARSED.items()} | {"parsed_untimed": _parsed("parsed_untimed", ["status", "message"])}
     reports = {"summary_report": _report(R.summary), "json_report": _report(lambda t: R.document(t, CONFIG)), "insights": _report(R.insights), "rate_bars": _report(lambda t: R.bars(t["error_series"]))}
     return {f.__name__: f for f in plain} | made | reports
@@ -306,5 +316,6 @@ def core_oracle_sql() -> dict[str, str]:
         "error_templates": f"{_TRUTH}, e AS (SELECT ts, CASE kind WHEN 1 THEN method || ' ' || path || ' HTTP/1.1' WHEN 4 THEN timestamp_iso || '|' || ip WHEN 5 THEN timestamp || ' [' || level || '] worker: ' || message WHEN 6 THEN strftime(ts, '%b %d %H:%M:%S') || ' host worker[' || user_id || ']: ' || message ELSE message END AS t, kind, level, method, path FROM (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp_iso FROM r) WHERE ok AND err) SELECT CASE WHEN kind = 4 THEN '|' || level || '|<ip>|' || method || regexp_replace('|' || path || '|', '[0-9]+', '<n>', 'g') || '<n>|<n>.<n>ms' ELSE regexp_replace(t, '[0-9]+', '<n>', 'g') END AS template, count(*) AS n, min(epoch_us(ts)) AS first_seen, max(epoch_us(ts)) AS last_seen FROM e GROUP BY 1",
         "health_badge": f"{_TRUTH}, a AS (SELECT count(*) AS total, count(*) FILTER (ok AND err) / count(*) FILTER (ok)::DOUBLE AS e, count(*) FILTER (NOT ok) / count(*)::DOUBLE AS q FROM r) SELECT CASE WHEN e >= 0.1 OR q >= 0.15 THEN 'CRITICAL' WHEN e >= 0.02 OR q >= 0.05 THEN 'DEGRADED' ELSE 'HEALTHY' END AS health, total, round(e, 9) AS error_rate, round(q, 9) AS quarantine_rate FROM a",
         "stream_error_rate": f"SELECT {six} AS bucket, count(*) AS n, count(*) FILTER (event_type = 'error') AS hits FROM events GROUP BY 1",
+        "stream_log_error_rate": f"{_TRUTH}, k AS (SELECT {six} AS bucket, err FROM r WHERE ok) SELECT bucket, count(*) AS n, count(*) FILTER (err) AS hits FROM k GROUP BY bucket",
         "quarantine_context": "SELECT event_id + 1 AS line_no, least(event_id, 5)::INTEGER AS n FROM events WHERE event_id > 0",
     }

@@ -20,7 +20,12 @@ FROM {events}
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, line_no, value: JSON, CLF, RFC 5424, key=value, pipes, bracketed text, and lines without a time or with one in BSD style."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    return render(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def render(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The lines of `events`, a table or a stream."""
+    events = events.withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
     rows = spark.sql(_SQL.format(events="{e}"), e=events)
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     plain = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from logweir.functions import fields as X
 from logweir.plans import catalog as C
+from logweir.plans.engine import gated
+from logweir.streaming.rates import error_windows, run_available, stream_lines
 
 SF = "/root/testdata/sf0.001"
 PARSED = [*C._PARSED, "parsed_untimed"]
@@ -69,3 +71,10 @@ def test_health_badge_sees_error_spikes(spark, monkeypatch, spike, badge):
     monkeypatch.setattr(C, "_records", lambda *_: lines)
     row = C.core_queries()["health_badge"](spark, SF).first()
     assert (row.health, row.total) == (badge, 800) and row.error_rate == spike / 800
+
+
+def test_streamed_lines_are_parsed_and_gated(spark, duck, tmp_path):
+    want = duck.sql(C.core_oracle_sql()["stream_log_error_rate"]).df()
+    same(C.core_queries()["stream_log_error_rate"](spark, SF), want)
+    C.rendered(spark, SF).select("value").write.text(str(tmp_path / "lines"))
+    same(run_available(error_windows(gated(stream_lines(spark, str(tmp_path / "lines")), C.CONFIG), C.CONFIG), "lines_of_files"), want)
