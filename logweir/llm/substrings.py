@@ -1,4 +1,4 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by anchors and ranks of fixed depth, in place of prefix-partitioned suffix trees (README).
 
 A repeat of `WINDOW` words holds, at the same place in each copy, the run of `GRAM` words whose hash is least: its
 anchor. So suffixes that begin elsewhere need no tree of their own, and anchors that occur in one document only need
