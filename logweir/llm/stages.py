@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them; all documents stay."""
-    return _shaped(linededup.apply(docs.select(*COLUMNS)).withColumn("text", F.col("_kept")))
+    return _shaped(linededup.apply(docs.select(*COLUMNS)).select("row.*", "kept").withColumn("text", F.col("kept")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def test_minhash(docs, texts, empty):
 def test_lines(spark, empty):
     long = "A line that many documents share, word for word."
     rows = [(i, f"own {i}\n {long.upper() if i % 2 else long}\t\nend", None, None, 0, 0, "") for i in range(6)] + [(9, None, None, None, 0, 0, ""), (10, "", None, None, 0, 0, ""), (11, f"{long}\n{long}", None, None, 0, 0, "")]
-    out = {r.doc_id: (r._lines, r._dropped, r._kept) for r in linededup.apply(spark.createDataFrame(rows, SCHEMA)).collect()}
+    out = {r.row.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in linededup.apply(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out[0] == (3, 1, "own 0\nend") and out[9] == (1, 0, "") and out[10] == (1, 0, "") and out[11] == (2, 0, f"{long}\n{long}")
     assert linededup.apply(empty).count() == 0
 

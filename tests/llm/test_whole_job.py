@@ -14,7 +14,7 @@ LINE = "A line that many documents share, word for word."
 def test_lines_of_repeated_and_null_ids(spark, tmp_path):
     rows = [(i, f"own {i}\n{LINE}") for i in range(6)] + [(None, f"{LINE}\nfoo"), (None, "bar\nbaz"), (2, f"{LINE}\nx"), (2, "y\nz"), (2, f"{LINE}\nx"), (9, LINE)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r._dropped, r._kept) for r in linededup.apply(docs).collect())
+    got = sorted((r.row.doc_id is None, r.row.doc_id or 0, r.n_dropped, r.kept) for r in linededup.apply(docs).collect())
     want = [(i is None, i or 0, t.split("\n").count(LINE) * (i != 9), "\n".join(x for x in t.split("\n") if x != LINE or i == 9)) for i, t in rows]
     assert got == sorted(want)
     # The SQL as registered, over the rows with an id.
