@@ -1,28 +1,31 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-A text's best path of pieces is the one of highest total score (the Viterbi path over the model's vocabulary and
-scores). A giant text is cut into chunks. Between chunks the state is the overhang: by how many code points the
-piece that crosses the border passes it. Each chunk yields the matrix of best scores from every overhang at its
-begin to every overhang at its end; such matrices combine associatively under (max, +), which gives each border's
-overhang on the best path, and from there every chunk traces its own pieces back.
-
-Scores are integers, the model's score in units of 2**-16 and below them a hash of the piece that parts most ties, so
-sums are exact and the best score does not depend on the chunks. Paths that still tie (the same pieces in another
-order) go to the one found first from the left, chunk by chunk in giant texts. A code point outside the vocabulary costs the least score less ten and becomes its
-bytes. Models of the BPE kind are taken for their pieces and scores: the path maximizes the sum of scores, it does
-not replay merges. No piece of such models passes a border before a blank that follows another character, so a
-text falls into units whose best paths are found once and cached; in matrices such borders are states with no overhang.
+A text's best path of pieces is the one of highest total score. A giant text is cut into chunks. Between chunks the
+state is the overhang: by how many code points the piece that crosses the border passes it. Each chunk yields the
+matrix of best scores from every overhang at its begin to every overhang at its end. Matrices combine associatively
+under (max, +), here in a tree: products of `FAN` neighbours level by level up to one matrix a text, then down again,
+where each node's two ends are known and fix the borders within it. From its two ends every chunk traces its own
+pieces back. No task holds more than `FAN` matrices or one chunk.
+
+Scores: models of the unigram kind are taken at their word. A model of the BPE kind has only ranks of merges, which add
+up to nothing; a piece of rank r scores -log(r + `OFFSET`), its log-probability under the Zipf-Mandelbrot law, with
+nothing trained. The path does not replay merges: README says how often it agrees with them. Scores are integers in
+units of 2**-28; each piece adds a hash of 20 bits of where it begins, which parts ties alike for every choice of chunks.
+A code point outside the vocabulary costs the least score less ten and becomes its bytes.
+
+No path crosses two characters that stand side by side in no piece. There a text falls into atoms, whose best paths are
+found once and remembered; in matrices such places are states with no overhang.
 
 Null texts count as empty and have no pieces. Texts are read whole; decoding gives back every text exactly, also
-one that holds U+2581, which is written as bytes. Repeated rows are encoded each for itself.
+one that holds U+2581, which is written as bytes. Repeated rows are encoded each for itself. Ids are integers; columns
+other than id and text are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import math
 import sys
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -30,27 +33,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.llm.common import documents, small_batches
+from logweir.llm.common import documents, small_batches, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Code points from which on a text is encoded chunk by chunk, and in a chunk.
-GIANT, CHUNK = 65536, 16384
-#: Units that a worker remembers.
-REMEMBERED = 400_000
+#: Code points from which on a text is encoded chunk by chunk, and in a chunk; neighbours that a node of the tree combines.
+GIANT, CHUNK, FAN = 65536, 16384, 64
+#: Added to a merge's rank under the Zipf-Mandelbrot law.
+OFFSET = 100
+#: Bytes of atoms and their ids that a worker remembers, about; code points of an atom that it remembers.
+REMEMBERED, SHORT = 100_000_000, 64
+_UNIT = 1 << 28
 _BLANK = "▁"
 #: Stands for U+2581 in a text; no text from Spark can hold a lone surrogate.
 _LITERAL = "\udc81"
-_UNIT = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+")
-_NONE = -(1 << 200)
+_NONE = -(1 << 61)
 
 
 def load(model_file: str = MODEL) -> dict:
-    """Vocabulary of a model file: weights by piece, ids, bytes of each id, the longest piece."""
+    """Vocabulary of a model file: weights and ids by piece, bytes of each id, the longest piece, pairs of characters within pieces."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    weight, ids, raw, byte_ids = {}, {}, [], {}
-    scores = [m.get_score(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
+    score, ids, raw, byte_ids = {}, {}, [], {}
     for i in range(m.get_piece_size()):
         p = m.id_to_piece(i)
         if m.is_byte(i):
@@ -59,14 +63,16 @@ def load(model_file: str = MODEL) -> dict:
         elif m.is_control(i) or m.is_unknown(i):
             raw.append(b"")
         else:
-            weight[p] = (round(m.get_score(i) * 65536) << 40) + (crc32(p.encode()) & 0xFFFFF)
-            ids[p] = i
+            score[p], ids[p] = m.get_score(i), i
             raw.append(p.replace(_BLANK, " ").encode())
     if len(byte_ids) < 256:
         raise ValueError("the model has no pieces for bytes")
-    starts = {p[:k] for p in weight for k in range(1, len(p) + 1)}
-    units = not any(_BLANK in p.lstrip(_BLANK) for p in weight)
-    return {"weight": weight, "ids": ids, "raw": raw, "byte_ids": byte_ids, "starts": starts, "longest": max(map(len, weight)), "unknown": (round((min(scores) - 10) * 65536) << 40), "units": units}
+    # Ranks of merges are 0, -1, -2 and so on.
+    if sorted(score.values(), reverse=True) == [-float(r) for r in range(len(score))]:
+        score = {p: -math.log(OFFSET - s) for p, s in score.items()}
+    weight = {p: round(s * _UNIT) for p, s in score.items()}
+    pairs = sorted({p[k : k + 2] for p in weight for k in range(len(p) - 1)})
+    return {"weight": weight, "ids": ids, "raw": raw, "byte_ids": byte_ids, "longest": max(map(len, weight)), "unknown": min(weight.values()) - 10 * _UNIT, "pairs": pairs}
 
 
 def marked(text: str) -> str:
@@ -74,144 +80,210 @@ def marked(text: str) -> str:
     return _BLANK + text.replace(_BLANK, _LITERAL).replace(" ", _BLANK) if text else ""
 
 
-def _forward(s: str, begin: int, stop: int, v: dict, limit: int | None = None) -> tuple[list[int], list[int]]:
-    """Best scores of the places from `begin` on, pieces beginning before `stop` only, and where each one's last piece begins."""
-    limit = len(s) if limit is None else min(limit, len(s))
-    size = min(limit, stop + v["longest"]) - begin
-    best, back = [_NONE] * (size + 1), [-1] * (size + 1)
-    best[0] = 0
-    weight, starts, unknown = v["weight"], v["starts"], v["unknown"]
-    for i in range(min(stop, limit) - begin):
-        here = best[i]
-        if here == _NONE:
-            continue
-        a = begin + i
-        one = here + weight.get(s[a], unknown)
-        if one > best[i + 1]:
-            best[i + 1], back[i + 1] = one, i
-        for b in range(a + 2, limit + 1):
-            p = s[a:b]
-            if p not in starts:
-                break
-            w = weight.get(p)
-            if w is not None and here + w > best[b - begin]:
-                best[b - begin], back[b - begin] = here + w, i
-    return best, back
-
-
-def _trace(s: str, begin: int, back: list[int], end: int, v: dict) -> list[int]:
-    out, j, ids = [], end - begin, v["ids"]
-    while j > 0:
-        i = back[j]
-        p = s[begin + i : begin + j]
-        n = ids.get(p)
-        if n is None:
-            raw = b"\xe2\x96\x81" if p == _LITERAL else p.encode("utf-8", "surrogatepass")
-            out += [v["byte_ids"][x] for x in reversed(raw)]
-        else:
-            out.append(n)
-        j = i
-    return out[::-1]
+def tie(place: int) -> int:
+    """What a piece that begins so many code points into its atom adds to parts ties."""
+    return crc32(place.to_bytes(8, "little")) & 0xFFFFF if place else 0
 
 
-def whole(s: str, v: dict) -> tuple[int, list[int]]:
-    """Score and ids of the best path of a marked text."""
-    best, back = _forward(s, 0, len(s), v)
-    return best[len(s)], _trace(s, 0, back, len(s), v)
+def decode_bytes(ids: bytes, raw: list[bytes]) -> str:
+    """The text of ids: their bytes in a row, without the blank that stands before every text."""
+    return b"".join([raw[i] for i in np.frombuffer(ids, np.uint32).tolist()])[1:].decode("utf-8", "replace")
 
 
-def _cut(s: str, begin: int, stop: int) -> int:
-    """The first place from `begin` to `stop` that every path passes, else -1."""
-    at = s.find(_BLANK, max(begin, 1), stop)
-    while at > 0 and s[at - 1] == _BLANK:
-        at = s.find(_BLANK, at + 1, stop)
-    return at
+class Encoder:
+    """A vocabulary made ready, and what a worker process remembers of it; Spark uses a process again, so that outlives a task."""
 
+    def __init__(self, v: dict) -> None:
+        import ahocorasick
+
+        self.v, self.n = v, v["longest"]
+        self.finder = ahocorasick.Automaton()
+        for p, w in v["weight"].items():
+            self.finder.add_word(p, (len(p), w))
+        self.finder.make_automaton()
+        letters = sorted({c for pair in v["pairs"] for c in pair})
+        number = {c: k + 1 for k, c in enumerate(letters)}
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.wide = len(letters) + 1
+        self.apart = np.ones(self.wide**2, bool)
+        self.apart[[number[a] * self.wide + number[b] for a, b in v["pairs"]]] = False
+        self.singles = frozenset(p for p in v["weight"] if len(p) == 1)
+        self.ties = [tie(k) for k in range(SHORT + 1)]
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    @classmethod
+    def of(cls, v: dict) -> Encoder:
+        kept = sys.__dict__.setdefault("_logweir_encoders", {})
+        key = (len(v["ids"]), sum(v["weight"].values()))
+        if key not in kept:
+            kept[key] = cls(v)
+        return kept[key]
+
+    def cuts(self, s: str) -> np.ndarray:
+        """The places within a marked text that every path passes."""
+        k = self.number.take(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32))
+        return np.flatnonzero(self.apart.take(k[:-1] * np.int32(self.wide) + k[1:])) + 1
+
+    def forward(self, s: str, begin: int, stop: int, limit: int, ties: list[int]) -> tuple[list[int], list[int]]:
+        """Best scores of the places from `begin` to `limit`, pieces beginning before `stop` only, and where each one's
+        last piece begins. ties: of each place of s."""
+        part = s[begin:limit]
+        best, back = [_NONE] * (len(part) + 1), [-1] * (len(part) + 1)
+        best[0] = 0
+        weight, unknown = self.v["weight"], self.v["unknown"]
+        arcs = [(end + 1, end + 1 - n, w) for end, (n, w) in self.finder.iter(part)]
+        strange = [k for k, c in enumerate(part) if c not in weight]
+        if strange:
+            arcs = sorted(arcs + [(k + 1, k, unknown) for k in strange])
+        stop -= begin
+        for j, i, w in arcs:
+            if i < stop and best[i] > _NONE:
+                one = best[i] + w + ties[begin + i]
+                if one > best[j]:
+                    best[j], back[j] = one, i
+        return best, back
+
+    def trace(self, part: str, back: list[int], end: int) -> list[int]:
+        out, j, ids = [], end, self.v["ids"]
+        while j > 0:
+            i = back[j]
+            p = part[i:j]
+            n = ids.get(p)
+            if n is None:
+                raw = b"\xe2\x96\x81" if p == _LITERAL else p.encode("utf-8", "surrogatepass")
+                out += [self.v["byte_ids"][x] for x in reversed(raw)]
+            else:
+                out.append(n)
+            j = i
+        return out[::-1]
+
+    def _short(self, atom: str) -> list[int]:
+        """What `forward` does, for an atom whose characters are all pieces."""
+        best, back, ties = [0] + [_NONE] * len(atom), [-1] * (len(atom) + 1), self.ties
+        for end, (n, w) in self.finder.iter(atom):
+            i = end + 1 - n
+            one = best[i] + w + ties[i]
+            if one > best[end + 1]:
+                best[end + 1], back[end + 1] = one, i
+        return back
+
+    def _ties(self, n: int) -> list[int]:
+        return self.ties if n <= SHORT else [tie(k) for k in range(n)]
+
+    def score(self, atom: str) -> int:
+        return self.forward(atom, 0, len(atom), len(atom), self._ties(len(atom)))[0][-1]
+
+    def atom(self, atom: str) -> bytes:
+        """Ids of an atom's best path, four bytes each."""
+        got = self.known.get(atom)
+        if got is None:
+            back = self._short(atom) if len(atom) <= SHORT and self.singles.issuperset(atom) else self.forward(atom, 0, len(atom), len(atom), self._ties(len(atom)))[1]
+            got = np.array(self.trace(atom, back, len(atom)), np.uint32).tobytes()
+            if len(atom) <= SHORT:
+                self.held += 250 + 2 * len(atom) + len(got)  # an entry, a string and a value take about 250 bytes themselves
+                if self.held > REMEMBERED:
+                    self.known.clear()
+                    self.held = 0
+                self.known[atom] = got
+        return got
 
-def matrix(s: str, begin: int, end: int, v: dict, scored) -> list[list[int]]:
-    """Best scores of chunk [begin, end) from each overhang at its begin to each at its end; `scored` gives a unit's."""
-    n = v["longest"]
-    first = _cut(s, begin + n - 1, end) if v["units"] else -1
-    rows = []
-    if first < 0:
+    def encode(self, s: str) -> bytes:
+        """Ids of a marked text."""
+        if not s:
+            return b""
+        at = self.cuts(s).tolist()
+        known, atom = self.known, self.atom
+        return b"".join([known.get(u) or atom(u) for u in [s[i:j] for i, j in zip([0, *at], [*at, len(s)])]])
+
+
+class Chunk:
+    """A stretch [begin, end) of a marked text, cut out with the place before it and as many after as a piece may reach;
+    `lead` is how far into its atom the cut-out begins."""
+
+    def __init__(self, e: Encoder, s: str, lead: int, begin: int, end: int) -> None:
+        self.e, self.s, self.begin, self.end = e, s, begin, end
+        self.cuts = e.cuts(s) if len(s) > 1 else np.zeros(0, np.int64)
+        starts = np.full(len(s) + 1, -lead)
+        starts[self.cuts] = self.cuts
+        into = np.arange(len(s) + 1) - np.maximum.accumulate(starts)
+        self.ties = [tie(k) for k in into.tolist()]
+
+    def matrix(self) -> np.ndarray:
+        """Best scores from each overhang at the begin to each at the end."""
+        e, s, begin, end, n = self.e, self.s, self.begin, self.end, self.e.n
+        out = np.full((n, n), _NONE, np.int64)
+        inner = self.cuts[(self.cuts >= begin + n - 1) & (self.cuts <= end)]
+        if not len(inner):
+            for k in range(min(n, len(s) - begin + 1)):
+                if begin + k >= end:
+                    out[k, k - (end - begin)] = 0  # the piece that enters covers the chunk
+                else:
+                    best, _ = e.forward(s, begin + k, end, min(len(s), end + n - 1), self.ties)
+                    reached = best[end - begin - k : end - begin - k + n]
+                    out[k, : len(reached)] = reached
+            return out
+        first, last = int(inner[0]), int(inner[-1])
+        bounds = inner.tolist()
+        middle = sum(e.score(s[i:j]) for i, j in zip(bounds, bounds[1:]))
+        tail = e.forward(s, last, end, min(len(s), end + n - 1), self.ties)[0][end - last : end - last + n] if last < end else [0]
         for k in range(n):
-            best, _ = _forward(s, begin + k, end, v) if begin + k < end else ([0], None)
-            rows.append([best[end + o - begin - k] if 0 <= end + o - begin - k < len(best) else _NONE for o in range(n)])
-        return rows
-    last = first
-    for m in _UNIT.finditer(s, first, end):
-        if m.end() < end:
-            last = m.end()
-    middle = sum(scored(m.group()) for m in _UNIT.finditer(s, first, last))
-    tail, _ = _forward(s, last, end, v)
-    for k in range(n):
-        head, _ = _forward(s, begin + k, first, v, first)
-        to = head[first - begin - k]
-        rows.append([to + middle + tail[end + o - last] if to > _NONE and end + o - last < len(tail) and tail[end + o - last] > _NONE else _NONE for o in range(n)])
-    return rows
-
-
-def combine(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+            head = e.forward(s, begin + k, first, first, self.ties)[0][-1] if begin + k < first else 0
+            if head > _NONE:
+                for o, t in enumerate(tail):
+                    if t > _NONE:
+                        out[k, o] = head + middle + t
+        return out
+
+    def ids(self, enters: int, leaves: int) -> bytes:
+        """Ids of the path from one overhang to the other; the piece that enters belongs to the chunk before."""
+        a, b = self.begin + enters, self.end + leaves
+        if a >= b:
+            return b""
+        at = [a, *self.cuts[(self.cuts > a) & (self.cuts < b)].tolist(), b]
+        out = []
+        for k, (i, j) in enumerate(zip(at, at[1:])):
+            if 0 < k < len(at) - 2:
+                out.append(self.e.atom(self.s[i:j]))
+            else:
+                _, back = self.e.forward(self.s, i, j, j, self.ties)
+                out.append(np.array(self.e.trace(self.s[i:j], back, j - i), np.uint32).tobytes())
+        return b"".join(out)
+
+
+def chunks(e: Encoder, s: str, size: int):
+    """(cut-out, lead, begin, end) of each chunk of a marked text, in order."""
+    cuts = e.cuts(s)
+    for begin in range(0, len(s), size):
+        end, low = min(len(s), begin + size), max(0, begin - 1)
+        k = int(np.searchsorted(cuts, low, "right"))
+        yield s[low : min(len(s), end + e.n)], low - (int(cuts[k - 1]) if k else 0), begin - low, end - low
+
+
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The product under (max, +): associative, so that chunks may be combined in any grouping."""
-    return [[max(max(x + b[k][o] for k, x in enumerate(row)), _NONE) for o in range(len(b[0]))] for row in a]
+    return np.maximum((a[:, :, None] + b[None, :, :]).max(1), _NONE)
+
 
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
 
-def borders(matrices: list[list[list[int]]]) -> list[int]:
-    """Overhang at each border on the best path, from the first (0) to the last (0), of chunks in order."""
-    n = len(matrices[0])
-    reach = [[0 if k == 0 else _NONE for k in range(n)]]
+
+def ends(matrices: list[np.ndarray], enters: int, leaves: int) -> list[int]:
+    """The overhangs at all borders of neighbours, from the first to the last, given these two."""
+    reach = [np.where(np.arange(len(matrices[0])) == enters, 0, _NONE)]
     for m in matrices:
-        reach.append(combine([reach[-1]], m)[0])
-    out = [0]
+        reach.append(np.maximum((reach[-1][:, None] + m).max(0), _NONE))
+    out = [leaves]
     for r, m in zip(reach[-2::-1], matrices[::-1]):
-        out.append(max(range(n), key=lambda k: (r[k] + m[k][out[-1]], -k)))
+        out.append(int((r + m[:, out[-1]]).argmax()))
     return out[::-1]
 
 
-class _Worker:
-    """Caches of one worker process; they outlive a task, as Spark uses the process again."""
-
-    def __init__(self, v: dict) -> None:
-        self.v = v
-        caches = sys.__dict__.setdefault("_logweir_units", {})
-        self.known: dict[str, bytes] = caches.setdefault((len(v["ids"]), sum(v["weight"].values())), {})
-        self.scored = lru_cache(1 << 14)(lambda u: _forward(u, 0, len(u), v)[0][len(u)])
-
-    def unit(self, u: str) -> bytes:
-        got = self.known.get(u)
-        if got is None:
-            got = np.array(whole(u, self.v)[1], np.uint32).tobytes()
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[u] = got
-        return got
-
-    def encode(self, s: str) -> bytes:
-        """Ids of a marked text, four bytes each."""
-        if not self.v["units"]:
-            return np.array(whole(s, self.v)[1], np.uint32).tobytes()
-        known, unit = self.known, self.unit
-        return b"".join([known.get(u) or unit(u) for u in _UNIT.findall(s)])
-
-    def part(self, s: str, begin: int, end: int) -> bytes:
-        """Ids of the path from one place to another that the best path passes."""
-        first = _cut(s, begin + 1, end) if self.v["units"] else -1
-        if first < 0:
-            _, back = _forward(s, begin, end, self.v, end)
-            return np.array(_trace(s, begin, back, end, self.v), np.uint32).tobytes()
-        last = first
-        for m in _UNIT.finditer(s, first, end):
-            if m.end() < end:
-                last = m.end()
-        return self.part(s, begin, first) + (self.encode(s[first:last]) if last > first else b"") + (self.part(s, last, end) if last < end else b"")
-
-
-def decode_bytes(ids: bytes, raw: list[bytes]) -> str:
-    """The text of ids: their bytes in a row, without the blank that stands before every text."""
-    return b"".join([raw[i] for i in np.frombuffer(ids, np.uint32).tolist()])[1:].decode("utf-8", "replace")
-
-
-def encode(docs: DataFrame, model_file: str = MODEL, *, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model_file: str = MODEL, *, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """id and ids (array<int>), a row for each row of `docs`."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(model_file))  # the vocabulary: a few MB, whatever the corpus
@@ -219,69 +291,87 @@ def encode(docs: DataFrame, model_file: str = MODEL, *, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def usual(batches):
-        w = _Worker(shared.value)
+        e = Encoder.of(shared.value)
         for b in batches:
-            yield _id_batch(b.column(0), [w.encode(marked(t)) for t in b.column(1).to_pylist()])
+            yield _id_batch(b.column(0), [e.encode(marked(t)) for t in b.column(1).to_pylist()])
 
     out = rows.where(F.char_length("t") < giant).mapInArrow(usual, "id long, ids array<int>")
-    return out.unionByName(_giants(rows.where(F.char_length("t") >= giant), shared, chunk)).withColumnRenamed("id", id_col)
+    return out.unionByName(_giants(rows.where(F.char_length("t") >= giant), shared, chunk, fan)).withColumnRenamed("id", id_col)
 
 
 def _id_batch(ids, encoded: list[bytes]) -> pa.RecordBatch:
-    ends = np.cumsum([0] + [len(x) // 4 for x in encoded]).astype(np.int32)
+    ends_ = np.cumsum([0] + [len(x) // 4 for x in encoded]).astype(np.int32)
     values = pa.array(np.frombuffer(b"".join(encoded), np.int32))
-    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["id", "ids"])
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), values)], names=["id", "ids"])
 
 
-def _giants(rows: DataFrame, shared, chunk: int) -> DataFrame:
-    """Chunks are rows of their own: matrices, then a fold of each text's matrices, then each chunk's ids."""
+def _giants(rows: DataFrame, shared, chunk: int, fan: int) -> DataFrame:
+    """Chunks are rows of their own, matrices nodes of a tree over each text's chunks."""
     n = shared.value["longest"]
     g = rows.withColumn("g", F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.col("t")), 256)).groupBy("g", "id").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
-    total = F.char_length("t") + 1  # with the blank before it
-    parts = g.select("g", "id", "copies", "t", total.alias("total"), F.explode(F.sequence(F.lit(0), F.floor((total - 1) / chunk).cast("int"))).alias("c"))
-    # Places are of the marked text; place p there is place p - 1 of the text. A chunk takes along what a piece may reach, and one place before.
-    parts = parts.select("g", "id", "copies", "total", "c", F.expr("substring(t, int(greatest(c * {0} - 2, 0)) + 1, {0} + {1})".format(chunk, 2 * n + 4)).alias("p"), F.greatest(F.col("c") * chunk - 2, F.lit(0)).alias("skip"))
+    kind = "g string, id long, copies long, k long, p binary, lead int, begin int, stop int"
+    names = [x.split()[0] for x in kind.split(", ")]
 
-    def own(c: int, p: str, skip: int, total: int) -> tuple[str, int, int]:
-        """A chunk's marked text, and its begin and end in it."""
-        s = marked(p) if c * chunk - 2 <= 0 else marked(p)[1:]
-        shift = 0 if c * chunk - 2 <= 0 else skip + 1
-        return s, c * chunk - shift, min(total, (c + 1) * chunk) - shift
+    def part_batch(held: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*held), kinds)], names=names)
 
-    def matrices(batches):
-        w = _Worker(shared.value)
+    def cut(batches):
+        e = Encoder.of(shared.value)
         for b in batches:
-            out = []
-            for c, p, skip, t in zip(*(b.column(i).to_pylist() for i in (4, 5, 6, 3))):
-                s, begin, end = own(c, p, skip, t)
-                out.append([str(x) for row in matrix(s, begin, end, w.v, w.scored) for x in row])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.string()))], names=[*b.schema.names, "m"])
+            for key, i, t, copies in zip(*(c.to_pylist() for c in b.columns)):
+                held = []
+                for k, (p, lead, begin, stop) in enumerate(chunks(e, marked(t), chunk)):
+                    held.append((key, i, copies, k, p.encode("utf-8", "surrogatepass"), lead, begin, stop))
+                    if len(held) == 64:
+                        yield part_batch(held)
+                        held = []
+                if held:
+                    yield part_batch(held)
+
+    def of(b, r: int, e: Encoder) -> Chunk:
+        p, lead, begin, stop = (b.column(names.index(c))[r].as_py() for c in ("p", "lead", "begin", "stop"))
+        return Chunk(e, p.decode("utf-8", "surrogatepass"), lead, begin, stop)
 
-    def fold(batches):
+    def matrices(batches):
+        e = Encoder.of(shared.value)
         for b in batches:
-            out = []
-            for ms in b.column(1).to_pylist():
-                table = [[[int(x) for x in m["m"][r : r + n]] for r in range(0, n * n, n)] for m in sorted(ms, key=lambda m: m["c"])]
-                out.append(borders(table))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["g", "o"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array([of(b, r, e).matrix().tobytes() for r in range(b.num_rows)], pa.binary())], names=["g", "k", "m"])
+
+    def read(column) -> list[np.ndarray]:
+        return [np.frombuffer(x, np.int64).reshape(n, n) for x in column.to_pylist()]
+
+    def up(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        return pa.table({"g": table.column("g")[:1], "k": pa.array([table.column("k")[0].as_py() // fan], pa.int64()), "m": pa.array([product(read(table.column("m"))).tobytes()], pa.binary())})
+
+    def down(children: pa.Table, parent: pa.Table) -> pa.Table:
+        children = children.sort_by("k")
+        at = ends(read(children.column("m")), parent.column("a")[0].as_py(), parent.column("b")[0].as_py())
+        return pa.table({"g": children.column("g"), "k": children.column("k"), "a": pa.array(at[:-1], pa.int32()), "b": pa.array(at[1:], pa.int32())})
 
     def traced(batches):
-        w = _Worker(shared.value)
+        e = Encoder.of(shared.value)
         for b in batches:
-            ids = []
-            for c, p, skip, t, o in zip(*(b.column(i).to_pylist() for i in (4, 5, 6, 3, 7))):
-                s, begin, end = own(c, p, skip, t)
-                a, e = begin + o[c], end + o[c + 1]
-                ids.append(np.frombuffer(w.part(s, a, e), np.int32) if e > a else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2, 4)), pa.array(ids, pa.list_(pa.int32()))], names=["g", "id", "copies", "c", "ids"])
-
-    kind = "g string, id long, copies long, total int, c int, p string, skip int"
-    parts = parts.select("g", "id", "copies", "total", "c", "p", "skip").repartition("g", "c")
-    with_m = parts.mapInArrow(matrices, kind + ", m array<string>")
-    paths = with_m.groupBy("g").agg(F.collect_list(F.struct("c", "m")).alias("ms")).mapInArrow(fold, "g string, o array<int>")
-    ids = parts.join(paths, "g").select("g", "id", "copies", "total", "c", "p", "skip", "o").mapInArrow(traced, "g string, id long, copies long, c int, ids array<int>")
-    whole_ = ids.groupBy("g", "id", "copies").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("x"))
-    one = whole_.select("id", F.flatten(F.transform("x", lambda y: y["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_"))
+            ids = [np.frombuffer(of(b, r, e).ids(b.column(8)[r].as_py(), b.column(9)[r].as_py()), np.int32) for r in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.list_(pa.int32()))], names=[*names[:4], "ids"])
+
+    parts = stored(g.mapInArrow(cut, kind).repartition("g", "k"))
+    last = parts.agg(F.max("k").alias("k")).first()["k"]
+    if last is None:
+        return rows.sparkSession.createDataFrame([], "id long, ids array<int>")
+    levels = [stored(parts.mapInArrow(matrices, "g string, k long, m binary"))]
+    node = F.floor(F.col("k") / fan).alias("node")
+    while last:
+        levels.append(levels[-1].groupBy("g", node).applyInArrow(up, "g string, k long, m binary"))
+        last //= fan
+    found = levels.pop().select("g", "k", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    while levels:
+        parents = found.withColumnRenamed("k", "node")
+        found = levels.pop().groupBy("g", node).cogroup(parents.groupBy("g", "node")).applyInArrow(down, "g string, k long, a int, b int")
+    ids = parts.join(found, ["g", "k"]).select(*names, "a", "b").mapInArrow(traced, "g string, id long, copies long, k long, ids array<int>")
+    whole = ids.groupBy("g", "id", "copies").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"))
+    one = whole.select("id", F.flatten(F.transform("x", lambda y: y["ids"])).alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_"))
     return one.select("id", "ids")
 
 

@@ -120,23 +120,58 @@ def test_matroska_round_trip_and_lacings(docs, texts, empty):
     assert matroska.store(empty).count() == 0
 
 
-def test_pieces(docs, texts, empty):
+def best_path(text, v):
+    """Score and ids of the best path of a text, by all pieces at all places."""
+    s = pieces.marked(text)
+    pairs, starts = set(v["pairs"]), [0]
+    for i in range(1, len(s)):
+        starts.append(starts[-1] if s[i - 1 : i + 1] in pairs else i)
+    best = [(0, [])] + [None] * len(s)
+    for j in range(1, len(s) + 1):
+        for i in range(max(0, j - v["longest"]), j):
+            p = s[i:j]
+            if p in v["weight"] or j == i + 1:
+                total = best[i][0] + v["weight"].get(p, v["unknown"]) + pieces.tie(i - starts[i])
+                if best[j] is None or total > best[j][0]:
+                    raw = "▁" if p == pieces._LITERAL else p
+                    best[j] = total, best[i][1] + ([v["ids"][p]] if p in v["ids"] else [v["byte_ids"][x] for x in raw.encode()])
+    return best[-1][1]
+
+
+@pytest.mark.parametrize("giant, chunk, fan", [(1 << 30, 1, 2), (100, 97, 2), (20, 7, 3), (400, 16, 64)])
+def test_pieces(spark, docs, texts, empty, giant, chunk, fan):
     v = pieces.load()
-    ids = {r.doc_id: r.ids for r in pieces.encode(docs, giant=400, chunk=97).collect()}
-    value = {n: v["weight"][p] for p, n in v["ids"].items()}
+    ids = {r.doc_id: r.ids for r in pieces.encode(docs, giant=giant, chunk=chunk, fan=fan).collect()}
     for i, t in texts.items():
-        t = t or ""
-        best, path = pieces.whole(pieces.marked(t), v) if t else (0, [])
-        assert sum(value.get(n, 0) for n in ids[i]) == sum(value.get(n, 0) for n in path)
-        assert pieces.decode_bytes(np.array(ids[i], np.uint32).tobytes(), v["raw"]) == t
-    assert {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs)).collect()} == {i: t or "" for i, t in texts.items()}
-    assert pieces.encode(empty).count() == 0
+        assert ids[i] == best_path(t or "", v), i
+        assert pieces.decode_bytes(np.array(ids[i], np.uint32).tobytes(), v["raw"]) == (t or "")
+    assert {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs, giant=giant, chunk=chunk)).collect()} == {i: t or "" for i, t in texts.items()}
+    assert pieces.encode(empty, giant=giant).count() == 0
+    twice = spark.createDataFrame([(1, "ab " * 300), (1, "ab " * 300), (None, "ab " * 300), (None, None)], "doc_id long, text string")
+    out = pieces.encode(twice, giant=giant, chunk=chunk).collect()
+    most = max(len(r.ids) for r in out)
+    assert sorted((r.doc_id or 0, len(r.ids)) for r in out) == [(0, 0), (0, most), (1, most), (1, most)]
 
 
 def test_max_plus_product_is_associative():
-    rng = random.Random(1)
-    a, b, c = ([[rng.randint(-9, 9) for _ in range(4)] for _ in range(4)] for _ in range(3))
-    assert pieces.combine(pieces.combine(a, b), c) == pieces.combine(a, pieces.combine(b, c))
+    rng = np.random.default_rng(1)
+    a, b, c = rng.integers(-9, 9, (3, 4, 4))
+    both = pieces.combine(pieces.combine(a, b), c)
+    assert (both == pieces.combine(a, pieces.combine(b, c))).all() and (both == pieces.product([a, b, c])).all()
+    want = max((a[0, i] + b[i, j] + c[j, 1], i, j) for i in range(4) for j in range(4))
+    at = pieces.ends([a, b, c], 0, 1)
+    assert at[0] == 0 and at[-1] == 1 and a[0, at[1]] + b[at[1], at[2]] + c[at[2], 1] == want[0]
+
+
+def test_tokens_of_the_query(spark):
+    v, sf = pieces.load(), "/root/testdata/sf0.001"
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.n_chars, r.decoded_sha256) for r in pieces.op4_sentencepiece(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        t = r.text or ""
+        if len(t) < 2000:
+            ids = best_path(t, v)
+            assert got[r.doc_id][:2] == (len(ids), hashlib.sha256(np.array(ids, np.uint32).tobytes()).hexdigest())
+        assert got[r.doc_id][2:] == (len(t), hashlib.sha256(t.encode()).hexdigest())
 
 
 def test_pii():
