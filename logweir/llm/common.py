@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(logweir)
 SPACES = " \t\n\x0b\x0c\r"
 #: Java pattern of one word.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: And of one character between words.
+SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Mixing sources to target weights on DataFrame functions alone.
 
 The documents of a source, laid end to end in an order drawn by hash, are packed into blocks of `BLOCK` words.
-Every output shard draws how many of its slots each source fills: the whole part of its share, and the slots
-left over by a multinomial draw. A source's slots, numbered through the shards, run through its blocks in the
-order of a pseudorandom permutation of their indexes, again and again, and slots and blocks are joined by index.
+The slots of every output shard are drawn from the sources, slot by slot, so that a shard's counts are multinomial;
+the last few shards make up what the draws left, so that each source comes to its target. A source's slots, numbered
+through the shards, run through its blocks in the order of a pseudorandom permutation of their indexes (a Feistel
+network over the residues of two factors, its keys new in every round), and slots and blocks are joined by index.
 All draws are hashes of stated seeds, so reruns agree.
 
 Null texts have size 0 and are taken 0 times; a null source is a source of its own; rows that share an id are
 documents of their own as long as their text or source differs, and are else told apart by a running number.
-Where all sizes are 0 all targets are 0.
+Where all sizes are 0 all targets are 0. The table of sources is held by the driver and broadcast: a row a source,
+never one a document. Columns other than id, text and source are ignored. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -18,16 +20,20 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import WORD, documents, n_words
+from logweir.llm.common import WORD, documents, n_words, stored
 
-#: Words in a block; slots in a shard at least; shards at most (larger inputs get larger shards).
-BLOCK, SLOTS, SHARDS = 32, 2048, 4096
+#: Words in a block; slots in a shard.
+BLOCK, SLOTS = 32, 2048
 #: Times that a source's words may be taken.
 REPEATS = 3
-#: Documents of a source in a bundle, about: a running sum goes through a bundle within one task.
+#: Documents of a source in a bundle, about, and shards in one: a running sum goes through a bundle within one task.
 BUNDLE = 2000
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (1, 2, 3)
+#: Standard deviations of a source's drawn count that the closing shards can make up.
+SPARE = 4.0
+#: Rounds of the Feistel network; steps by which an index outside a source's blocks is led back.
+ROUNDS, STEPS = 4, 32
 _SEED = 7
 
 
@@ -53,17 +59,44 @@ def _unit(*parts) -> Column:
     return F.pmod(F.xxhash64(*parts, F.lit(_SEED)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _coprime(n: int, seed: int) -> int:
-    """A multiplier for an index permutation of n: prime to n, near n times the golden ratio's fraction."""
-    a = max(1, int(n * (0.6180339887498949 + 0.001 * (seed % 100))) % max(1, n))
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a
+def alias_table(weights: list[float]) -> list[tuple[int, float, int]]:
+    """(cell, cut, other) for each of as many cells as there are weights: a draw of a uniform cell takes the cell's own
+    number below its cut and the other above, which gives each number by its weight (Walker's method)."""
+    n, total = len(weights), sum(weights)
+    share = [w * n / total for w in weights]
+    low, high = [i for i in range(n) if share[i] < 1], [i for i in range(n) if share[i] >= 1]
+    out = {}
+    while low and high:
+        i, j = low.pop(), high.pop()
+        out[i] = (i, share[i], j)
+        share[j] -= 1 - share[i]
+        (low if share[j] < 1 else high).append(j)
+    return [out.get(i, (i, 1.0, i)) for i in range(n)]
+
+
+def factors(n: int) -> tuple[int, int]:
+    """Two factors near the root of n whose product is n or little more."""
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    return a, max(1, -(-n // a))
+
+
+def permuted(x: Column, n: Column, a: Column, b: Column, *keys: Column) -> Column:
+    """The place of x in a pseudorandom permutation of 0 to n - 1, drawn by the keys. a, b: `factors` of n."""
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / b).alias("l"), F.pmod(x, b).alias("r"))
+        # Sides change places; the side that is new belongs to a in even rounds and to b in odd ones.
+        step = lambda s, k: F.struct(s["r"].alias("l"), F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], k, *keys, F.lit(_SEED)), F.when(k % 2 == 0, a).otherwise(b)), F.when(k % 2 == 0, a).otherwise(b)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * b + s["r"])
+
+    # Fewer than a indexes lie outside; a walk that meets one goes on until it is inside again.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), once(x), lambda y, _: F.when(y < n, y).otherwise(once(y)))
 
 
 def laid_out(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """id, source, size and `begins`, the place of a document's first word in its source, and `_row` to tell equal rows apart."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), n_words(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(_SEED)).alias("_order"))
+    # Words are counted once: what follows reads numbers.
+    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), n_words(F.col(text_col)).alias("_size"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(_SEED)).alias("_order")))
     n = max(1, math.ceil(rows.count() / BUNDLE))
     rows = rows.withColumn("_bundle", F.pmod("_order", F.lit(n)))
     sums = rows.groupBy("_source", "_bundle").agg(F.sum("_size").alias("_sum"))
@@ -77,48 +110,49 @@ def laid_out(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) ->
     )
 
 
+def running(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """rows (of a number each of `order`, from 0) and `before`, the sum of `value` over smaller numbers of the same key, bundle by bundle."""
+    rows = rows.withColumn("_u", F.floor(F.col(order) / BUNDLE))
+    sums = rows.groupBy(key, "_u").agg(F.sum(value).alias("_sum"))
+    before = sums.select(key, "_u", F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy(key, "_u").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_within", within).join(before, [key, "_u"]).withColumn("before", F.col("_before") + F.col("_within")).drop("_u", "_before", "_within")
+
+
 def slots(spark: SparkSession, sizes: list[tuple[str | None, int]], wanted: dict[str | None, float], block: int = BLOCK) -> DataFrame:
-    """shard, slot, s (number of the source in order), block: what fills each slot of each shard."""
+    """shard, s (number of the source in order), t (the slot's number in its source), block: what fills the slots of each shard."""
     order = sorted(wanted, key=lambda s: (s is None, s or ""))
     have = dict(sizes)
-    blocks = [math.ceil(have[s] / block) for s in order]
-    total = sum(wanted.values())
-    n_slots = round(total / block)
-    if not n_slots:
-        return spark.range(0).selectExpr("id AS shard", "id AS slot", "int(id) AS s", "id AS block")
     # A source's last block is short: its share of slots is raised so that its words come to the target.
-    share = [wanted[s] / have[s] * n for s, n in zip(order, blocks) if have[s]]
-    filled = [i for i, s in enumerate(order) if have[s]]
-    p = [x / sum(share) for x in share]
-    n_slots = round(sum(share))
-    per = max(SLOTS, math.ceil(n_slots / SHARDS))
-    n_shards = math.ceil(n_slots / per)
-    shards = spark.range(n_shards).withColumnRenamed("id", "shard")
-    # All shards but the last have the same number of slots, and so the same shares.
-    whole, cum = {}, {}
-    for m in {per, n_slots - per * (n_shards - 1)}:
-        whole[m] = [math.floor(m * x) for x in p]
-        cum[m] = [sum(m * x - w for x, w in zip(p[: i + 1], whole[m])) for i in range(len(p))]
-    last = n_slots - per * (n_shards - 1)
-    of = lambda table: F.when(F.col("shard") < n_shards - 1, F.array(*[F.lit(v) for v in table[per]])).otherwise(F.array(*[F.lit(v) for v in table[last]]))
-    rest = F.when(F.col("shard") < n_shards - 1, F.lit(per - sum(whole[per]))).otherwise(F.lit(last - sum(whole[last])))
-    # The slots left over in a shard: a multinomial draw with the fractions as weights, by inverted cumulative sums.
-    draws = shards.where(rest > 0).select("shard", F.explode(F.sequence(F.lit(1), rest)).alias("j")).withColumn("u", _unit("shard", "j"))
-    fell = F.least(F.lit(len(p) - 1), F.size(F.filter(of(cum), lambda c: c <= F.col("u") * F.element_at(of(cum), -1))))
-    each = shards.select("shard", F.posexplode(of(whole)).alias("k", "n")).unionByName(draws.select("shard", fell.alias("k"), F.lit(1).alias("n")))
-    each = each.groupBy("shard", "k").agg(F.sum("n").alias("n"))
-    number = F.element_at(F.array(*[F.lit(i) for i in filled]), F.col("k") + 1)
-    each = each.select("shard", number.alias("s"), "n", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("s") + 1)
-    each = each.withColumns({"blocks": pick(blocks), "a": pick([_coprime(max(1, n), i) for i, n in enumerate(blocks)]), "b": pick([n * (i * 37 % 101) // 101 for i, n in enumerate(blocks)])})
+    table = []
+    for i, s in enumerate(order):
+        n = math.ceil(have[s] / block)
+        due = min(REPEATS * n, round(wanted[s] / have[s] * n)) if have[s] else 0
+        if due:
+            table.append((i, n, due, *factors(n)))
+    if not table:
+        return spark.range(0).selectExpr("id AS shard", "int(id) AS s", "id AS t", "id AS block")
+    total = sum(x[2] for x in table)
+    # A count drawn with probability p has a deviation below the root of (total * p); closing slots hold p times their number.
+    closing = min(total, math.ceil(SPARE * math.sqrt(total * total / min(x[2] for x in table))))
+    cells = alias_table([x[2] for x in table])
+    drawn_from = spark.createDataFrame([(c, cut, table[c][0], table[other][0]) for c, cut, other in cells], "cell long, cut double, own int, other int")
+    sources = F.broadcast(spark.createDataFrame(table, "s int, n long, due long, a long, b long"))  # a row a source
+    draws = spark.range(total - closing).select("id", F.floor(F.col("id") / SLOTS).alias("shard"), F.pmod(F.xxhash64("id", F.lit("cell"), F.lit(_SEED)), F.lit(len(cells))).alias("cell"))
+    draws = draws.join(F.broadcast(drawn_from), "cell").select("shard", F.when(_unit("id") < F.col("cut"), F.col("own")).otherwise(F.col("other")).alias("s"))
+    counts = draws.groupBy("shard", "s").agg(F.count("*").alias("n"))
+    counts = running(counts.withColumnRenamed("n", "m"), "s", "shard", "m").where("m > 0")
+    got = counts.groupBy("s").agg(F.sum("m").alias("got"))
+    first = math.ceil((total - closing) / SLOTS)
+    left = sources.join(got, "s", "left").select("s", F.coalesce("got", F.lit(0)).alias("got"), (F.col("due") - F.coalesce("got", F.lit(0))).alias("left")).where("left > 0")
+    rest = left.select("s", "got", "left", F.explode(F.sequence(F.lit(0), F.floor((F.col("left") - 1) / SLOTS))).alias("k"))
+    rest = rest.select((F.col("k") + first).alias("shard"), "s", F.least(F.lit(SLOTS), F.col("left") - F.col("k") * SLOTS).alias("m"), (F.col("got") + F.col("k") * SLOTS).alias("before"))
+    every = counts.select("shard", "s", "m", "before").unionByName(rest)
+    one = every.join(sources, "s").select("shard", "s", "n", "a", "b", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("m") - 1)).alias("t"))
     # No slot beyond `REPEATS` rounds: a draw may pass what a source has.
-    room = F.least(F.col("n"), F.col("blocks") * REPEATS - F.col("before"))
-    one = each.where(room > 0).select("shard", "s", "blocks", "a", "b", F.explode(F.sequence(F.col("before"), F.col("before") + room - 1)).alias("t"))
-    # Decimals: index times multiplier may pass 64 bits.
-    index = F.pmod((F.pmod("t", F.col("blocks")).cast("decimal(19,0)") * F.col("a").cast("decimal(18,0)")).cast("decimal(38,0)") + F.col("b").cast("decimal(18,0)"), F.col("blocks").cast("decimal(18,0)")).cast("long")
-    small = max(blocks) < 3_000_000_000
-    index = F.pmod(F.pmod("t", F.col("blocks")) * F.col("a") + F.col("b"), F.col("blocks")) if small else index
-    return one.select("shard", F.xxhash64("shard", "s", "t").alias("slot"), "s", index.alias("block"))
+    one = one.where(F.col("t") < REPEATS * F.col("n"))
+    index = permuted(F.pmod("t", F.col("n")), F.col("n"), F.col("a"), F.col("b"), F.col("s"), F.floor(F.col("t") / F.col("n")))
+    return one.select("shard", "s", "t", index.alias("block"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, repeats: float = REPEATS, block: int = BLOCK) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.llm import langid, linededup, minhash, mixing, pieces
-from logweir.llm.common import WORD
+from logweir.llm.common import SPACE, WORD
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Score below which a language is not accepted: far below that of any text in one language.
@@ -41,20 +41,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each round in which it takes any of a document's blocks."""
+    """The words that the mix takes, with the white space between them: a row for each round in which it takes any of a
+    document's blocks. Neighbouring blocks read on as in the text. Texts that are null or without words are not taken;
+    of equal rows (id, text) each is laid out and taken for itself."""
     order = F.xxhash64("doc_id", "text", F.lit(mixing._SEED))
     rows = docs.select(*COLUMNS).withColumn("_order", order)
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_order").orderBy("_order")))
     plan = mixing.mix(docs).where("taken > 0").select(F.col("_id").alias("_m"), F.col("_order").alias("_o"), "_begins", "times")
     plan = plan.withColumn("_c", F.row_number().over(Window.partitionBy("_m", "_o").orderBy("_begins")))
     both = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("_m")) & (F.col("_order") == F.col("_o")) & (F.col("_copy") == F.col("_c")))
-    each = both.withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.map_values("times")))))
+    # Each word with what follows it up to the next, the first also with what stands before: joined, they are the text.
+    words = F.regexp_extract_all("text", F.lit(f"(?:^{SPACE}+)?{WORD}{SPACE}*"), F.lit(0))
+    each = both.withColumn("_words", words).withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.map_values("times")))))
     blocks = F.map_keys(F.map_filter("times", lambda b, n: n >= F.col("round")))
-    each = each.withColumn("_blocks", blocks).withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     block = mixing.BLOCK
     # A block's words within the document, in the order of the blocks.
-    piece = lambda b: F.array_join(F.slice(F.col("_words"), F.greatest(b * block - F.col("_begins"), F.lit(0)).cast("int") + 1, (F.least((b + 1) * block - F.col("_begins"), F.array_size("_words")) - F.greatest(b * block - F.col("_begins"), F.lit(0))).cast("int")), " ")
-    return _shaped(each.withColumn("text", F.array_join(F.transform(F.array_sort("_blocks"), piece), " ")))
+    piece = lambda b: F.array_join(F.slice(F.col("_words"), F.greatest(b * block - F.col("_begins"), F.lit(0)).cast("int") + 1, (F.least((b + 1) * block - F.col("_begins"), F.array_size("_words")) - F.greatest(b * block - F.col("_begins"), F.lit(0))).cast("int")), "")
+    return _shaped(each.withColumn("text", F.array_join(F.transform(F.array_sort(blocks), piece), "")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

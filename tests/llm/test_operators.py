@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logweir.llm import langid, linededup, matroska, minhash, mixing, pieces, pii, substrings, topk, toxicity
+from logweir.llm import langid, linededup, matroska, minhash, mixing, pieces, pii, stages, substrings, topk, toxicity
 from logweir.llm.registry import llm_oracle_sql, llm_queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +101,46 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_permutations(spark):
+    for n in (1, 2, 3, 5, 7, 31, 100, 1009):
+        a, b = mixing.factors(n)
+        assert a * b >= n > (a * b - a if a > 1 else 0)
+        rows = spark.range(n).select(*[mixing.permuted(F.col("id"), *[F.lit(x).cast("long") for x in (n, a, b)], F.lit(3), F.lit(r)).alias(f"r{r}") for r in (0, 1)]).collect()
+        assert sorted(r.r0 for r in rows) == sorted(r.r1 for r in rows) == list(range(n))
+        assert n < 31 or [r.r0 for r in rows] != [r.r1 for r in rows]
+
+
+def test_slots_draw_counts_and_meet_targets(spark):
+    sizes, wanted = [("a", 400_000), ("b", 300_000), (None, 100_000)], {"a": 400_000.0, "b": 150_000.0, None: 250_000.0}
+    rows = mixing.slots(spark, sizes, wanted).groupBy("shard", "s").count().collect()
+    total = {}
+    for r in rows:
+        total[r.s] = total.get(r.s, 0) + r["count"]
+    assert total == {0: 12_500, 1: 4_688, 2: 7_812}
+    # Of 2,048 slots a half, with a deviation of 23: not the same in each shard.
+    drawn = [r["count"] for r in rows if r.s == 0 and r.shard < 9]
+    assert len(set(drawn)) > 4 and all(abs(n - 1024) < 120 for n in drawn)
+    cells = mixing.alias_table([1.0, 2.0, 5.0])
+    share = [sum((c == i) * cut + (o == i) * (1 - cut) for c, cut, o in cells) / 3 for i in range(3)]
+    assert share == pytest.approx([1 / 8, 2 / 8, 5 / 8])
+
+
+def test_mixture_keeps_white_space(spark):
+    rng = random.Random(6)
+    texts = {i: "".join(rng.choice(["word", "Wort", "x"]) + rng.choice([" ", "  ", "\n", "\t\n "]) for _ in range(rng.randint(1, 200))) for i in range(60)}
+    texts |= {60: None, 61: " \n", 62: "\n lead", 63: "one"}
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in texts.items()] + [(7, texts[7], "en", "s1", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = stages.mixture(spark, docs, "").collect()
+    assert {r.doc_id for r in out} <= set(texts) - {60, 61} and len(out) > 40
+    for r in out:
+        text, pieces_ = texts[r.doc_id], re.findall(r"(?:^\s+)?\S+\s*", r.text)
+        assert r.n_chars == len(r.text)
+        # Whole blocks of the text's own words, white space included: each run of them is a part of the text.
+        whole = re.findall(r"(?:^\s+)?\S+\s*", text)
+        assert r.text == text or (r.text in text) or all(p in whole for p in pieces_)
+    assert any(r.text == texts[r.doc_id] and "\n" in r.text for r in out)
+
+
 def test_matroska_round_trip_and_lacings(docs, texts, empty):
     E = matroska.element
     for r in matroska.describe(matroska.store(docs)).collect():
