@@ -67,9 +67,10 @@ def load(model_file: str = MODEL) -> dict:
             raw.append(p.replace(_BLANK, " ").encode())
     if len(byte_ids) < 256:
         raise ValueError("the model has no pieces for bytes")
-    # Ranks of merges are 0, -1, -2 and so on.
-    if sorted(score.values(), reverse=True) == [-float(r) for r in range(len(score))]:
-        score = {p: -math.log(OFFSET - s) for p, s in score.items()}
+    # Models of the BPE kind number their merges: 0, -1, -2 and so on; pieces that take part last share one low number.
+    if all(x <= 0 and x == int(x) for x in score.values()):
+        order = sorted(score, key=lambda p: (-score[p], ids[p]))
+        score = {p: -math.log(OFFSET + r) for r, p in enumerate(order)}
     weight = {p: round(s * _UNIT) for p, s in score.items()}
     pairs = sorted({p[k : k + 2] for p in weight for k in range(len(p) - 1)})
     return {"weight": weight, "ids": ids, "raw": raw, "byte_ids": byte_ids, "longest": max(map(len, weight)), "unknown": min(weight.values()) - 10 * _UNIT, "pairs": pairs}
