@@ -1,113 +1,120 @@
-"""Timestamp families. Thirteen shapes with their calendars make expressions too large for one generated method, so
-texts go through Arrow in batches; each text stops at its first family, the surest first."""
+"""Timestamp families as column expressions: shapes of times in a text, the surest first.
+
+A family's first match in a text is taken apart into its runs of digits, and these make a time in the family's order.
+Families are tried by how far they and their time zone are trusted; the first that gives a time in the years 2000 to
+2050 is it, and only where none does is a time outside them a guess.
+"""
 
 from __future__ import annotations
 
-import re
-from datetime import datetime, timedelta, timezone
-from zoneinfo import ZoneInfo
+from datetime import datetime, timezone
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-import logweir
 from logweir.config import Config
-from logweir.functions.fields import absent, known, unknown
-
-cloudpickle.register_pickle_by_value(logweir)
+from logweir.functions.fields import absent, known, let, unknown
 
-#: How far each source of a zone is trusted.
+# How far each source of a zone is trusted.
 SCALES = {"explicit_offset": 1.0, "configured_local": 0.85, "configured_utc": 0.80, "syslog_assumption": 0.75}
-_MONTHS = {m: i + 1 for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))}
-_CLOCK = r"(?P<h>\d{2}):(?P<mi>\d{2}):(?P<s>\d{2})"
-_DATE = r"(?P<y>\d{4})-(?P<mo>\d{2})-(?P<d>\d{2})"
-
-#: (base confidence, kind, shape), the surest first; of equals the one that takes precedence.
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_CLOCK = "[0-9]{2}:[0-9]{2}:[0-9]{2}"
+_DATE = "[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_OFFSET = "(?:Z|[+-][0-9]{2}:?[0-9]{2})"
+_NAME = "[A-Za-z]{3}"
+# Base confidences. (base, kind, shape, source; None: as the configuration says).
 FAMILIES = [
-    (b, k, re.compile(p, re.ASCII))
-    for b, k, p in (
-        (0.95, "iso", rf"{_DATE}T{_CLOCK}(?:\.(?P<f>\d+))?(?P<o>Z|[+-]\d\d:?\d\d)?"),
-        (0.92, "naive", rf"\[\w{{3}}\s+(?P<mon>\w{{3}})\s+(?P<d>\d{{1,2}})\s+{_CLOCK}\s+(?P<y>\d{{4}})\]"),
-        (0.90, "iso", rf"(?P<d>\d\d)/(?P<mon>[A-Za-z]{{3}})/(?P<y>\d{{4}}):{_CLOCK}\s+(?P<o>[+-]\d{{4}})"),
-        (0.88, "naive", rf"\[{_DATE}\s+{_CLOCK}(?:[,.](?P<f>\d{{1,6}}))?\]"),
-        (0.85, "naive", rf"{_DATE}\s+{_CLOCK}(?:\.(?P<f>\d+))?"),
-        (0.84, "naive", rf"\b(?P<y>\d{{4}})(?P<mo>\d\d)(?P<d>\d\d)-{_CLOCK}:(?P<f>\d{{3}})\b"),
-        (0.82, "naive", r"\b(?P<yy>\d\d)(?P<mo>\d\d)(?P<d>\d\d)\s+(?P<h>\d\d)(?P<mi>\d\d)(?P<s>\d\d)\b"),
-        (0.80, "epoch", r"\b(?P<ms>\d{13})\b"),
-        (0.78, "naive", rf"\b(?P<yy>\d\d)/(?P<mo>\d\d)/(?P<d>\d\d)\s+{_CLOCK}\b"),
-        (0.78, "epoch", r"\b(?P<sec>\d{10})\.(?P<f>\d{1,6})\b"),
-        (0.75, "bsd", rf"\b(?P<mon>[A-Za-z]{{3}})\s+(?P<d>\d{{1,2}})\s+{_CLOCK}\b"),
-        (0.75, "epoch", r"\b(?P<sec>\d{10})\b"),
-        (0.72, "naive", rf"\[(?P<mo>\d{{1,2}})\.(?P<d>\d{{1,2}})\s+{_CLOCK}\]"),
-    )
+    (0.95, "iso", f"{_DATE}T{_CLOCK}(?:[.][0-9]+)?{_OFFSET}", "explicit_offset"),
+    (0.95, "iso", f"{_DATE}T{_CLOCK}(?:[.][0-9]+)?(?!{_OFFSET})", None),
+    (0.92, "named", f"\\[{_NAME}\\s+{_NAME}\\s+[0-9]{{1,2}}\\s+{_CLOCK}\\s+[0-9]{{4}}\\]", None),
+    (0.90, "access", f"[0-9]{{2}}/{_NAME}/[0-9]{{4}}:{_CLOCK}\\s+[+-][0-9]{{4}}", "explicit_offset"),
+    (0.88, "iso", f"\\[{_DATE}\\s+{_CLOCK}(?:[,.][0-9]{{1,6}})?\\]", None),
+    (0.85, "iso", f"{_DATE}\\s+{_CLOCK}(?:[.][0-9]+)?", None),
+    (0.84, "packed", f"\\b[0-9]{{8}}-{_CLOCK}:[0-9]{{3}}\\b", None),
+    (0.82, "sixes", "\\b[0-9]{6}\\s+[0-9]{6}\\b", None),
+    (0.80, "epoch", "\\b[0-9]{13}\\b", "explicit_offset"),
+    (0.78, "iso", f"\\b[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2}}\\s+{_CLOCK}\\b", None),
+    (0.78, "epoch", "\\b[0-9]{10}[.][0-9]{1,6}\\b", "explicit_offset"),
+    (0.75, "bsd", f"\\b{_NAME}\\s+[0-9]{{1,2}}\\s+{_CLOCK}\\b", "syslog_assumption"),
+    (0.75, "epoch", "\\b[0-9]{10}\\b", "explicit_offset"),
+    (0.72, "wall", f"\\[[0-9]{{1,2}}[.][0-9]{{1,2}}\\s+{_CLOCK}\\]", None),
 ]
-_DIGITS = re.compile(r"\d\d")
-
-
-def find(text: str | None, zone: ZoneInfo, naive: str, year: int) -> tuple[datetime, float, str] | None:
-    """(time in UTC, base confidence, source) of the surest family that matches a text."""
-    if not text or not _DIGITS.search(text):
-        return None
-    for base, kind, shape in FAMILIES:
-        m = shape.search(text)
-        if not m:
-            continue
-        g = m.groupdict()
-        fraction = int((g.get("f") or "0")[:6].ljust(6, "0"))
-        try:
-            if kind == "epoch":
-                seconds = int(g["ms"]) / 1000 if g.get("ms") else int(g["sec"])
-                return datetime.fromtimestamp(seconds, timezone.utc) + timedelta(microseconds=fraction), base, "explicit_offset"
-            short = g.get("yy")
-            y = int(g["y"]) if g.get("y") else (int(short) + (1900 if int(short) >= 70 else 2000) if short else year)
-            month = _MONTHS[g["mon"].lower()] if g.get("mon") else int(g["mo"])
-            t = datetime(y, month, int(g["d"]), int(g["h"]), int(g["mi"]), int(g["s"]), fraction)
-        except (ValueError, KeyError, OverflowError):
-            continue
-        o = g.get("o")
-        if o:
-            n = o[1:].replace(":", "")
-            east = 0 if o == "Z" else (int(n[:2]) * 60 + int(n[2:])) * (-1 if o[0] == "-" else 1)
-            return (t - timedelta(minutes=east)).replace(tzinfo=timezone.utc), base, "explicit_offset"
-        return t.replace(tzinfo=zone).astimezone(timezone.utc), base, "syslog_assumption" if kind == "bsd" else naive
-    return None
-
 
-_RESULT = "struct<ts:timestamp,base:double,source:string>"
 
+def sane(t: Column) -> Column:
+    """Whether a time lies in the years 2000 to 2050 (UTC)."""
+    return F.unix_seconds(t).between(946_684_800, 2_556_143_999)
+
+
+def _made(m: Column, config: Config, given: Column) -> Column:
+    """The time (UTC) that a match stands for, null where there is none. m: struct(kind, text, ...)."""
+    kind, text = m["kind"], m["text"]
+    zone, now = F.lit(config.zone), datetime.fromisoformat(config.run_ts).replace(tzinfo=timezone.utc)
+    name = F.lower(F.regexp_extract(text, f"({_NAME})[\\s/]+[0-9]", 1))
+    month = F.format_string("%02d", F.array_position(F.array(*map(F.lit, _MONTHS)), name))
+
+    def parts(r: Column) -> Column:
+        """Year, month, day, hour, minute, second and fraction as texts, and the offset in minutes."""
+        of = lambda *places: F.array(*[p if isinstance(p, Column) else F.coalesce(F.get(r, F.lit(p)), F.lit("")) if p is not None else F.lit("") for p in places])
+        cut = lambda run, *widths: [F.substring(F.get(r, F.lit(run)), 1 + sum(widths[:k]), w) for k, w in enumerate(widths)]
+        year = F.coalesce(given, F.lit(now.year)).cast("string")
+        return (
+            F.when(kind == "named", of(4, month, 0, 1, 2, 3, None))
+            .when(kind == "access", of(1, month, 0, 2, 3, 4, None))
+            .when(kind == "packed", of(*cut(0, 4, 2, 2), 1, 2, 3, 4))
+            .when(kind == "sixes", of(*cut(0, 2, 2, 2), *cut(1, 2, 2, 2), None))
+            .when(kind == "bsd", of(year, month, 0, 1, 2, 3, None))
+            .when(kind == "wall", of(year, 0, 1, 2, 3, 4, None))
+            # Of a time with an offset and no fraction, the seventh run is the offset.
+            .otherwise(of(0, 1, 2, 3, 4, 5, F.when(text.rlike("[.,]"), F.coalesce(F.get(r, F.lit(6)), F.lit(""))).otherwise("")))
+        )
+
+    def built(p: Column) -> Column:
+        n = lambda i: F.get(p, F.lit(i)).try_cast("int")
+        y = F.when(F.length(F.get(p, F.lit(0))) == 2, n(0) + F.when(n(0) >= 70, 1900).otherwise(2000)).otherwise(n(0))
+        second = F.concat(F.get(p, F.lit(5)), F.lit("."), F.rpad(F.substring(F.get(p, F.lit(6)), 1, 6), 6, "0")).try_cast("decimal(16,6)")
+        make = lambda y: F.try_make_timestamp(y, n(1), n(2), n(3), n(4), second, F.when(m["offset"], F.lit("UTC")).otherwise(zone))
+        # Without a year to go by: this year's, or last year's where that lies more than 30 days ahead.
+        ahead = kind.isin("bsd", "wall") & given.isNull() & (F.unix_seconds(make(y)) > int(now.timestamp()) + 30 * 86_400)
+        return F.when(ahead, make(y - 1)).otherwise(make(y))
+
+    def shifted(t: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(text, "([+-][0-9]{2}:?[0-9]{2})$", 1), ":", "")
+        east = F.when(text.endswith("Z"), 0).otherwise((F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")) * F.when(digits.startswith("-"), -1).otherwise(1))
+        return F.when(m["offset"], F.timestamp_micros(F.unix_micros(t) - east.cast("long") * 60_000_000)).otherwise(t)
+
+    runs = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
+    epoch = F.rpad(F.replace(text, F.lit("."), F.lit("")), 16, "0").try_cast("long")
+    return F.when(kind == "epoch", F.timestamp_micros(epoch)).otherwise(let(let(let(runs, parts), built), shifted))
+
+
+def hunt(text: Column, config: Config, year: Column | None = None) -> Column:
+    """The surest time of a text as struct(ts, base, source), null where there is none. year: of times without one, where
+    the configuration names none; else it goes by `run_ts`."""
+    year = F.lit(config.reference_year).cast("int") if config.reference_year or year is None else year
+    naive = "configured_utc" if config.naive_policy == "utc" else "configured_local"
+    tried = []
+    for base, kind, shape, source in FAMILIES:
+        source = source or naive
+        m = F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.lit(source).alias("source"), F.lit(source == "explicit_offset").alias("offset"), F.regexp_extract(text, shape, 0).alias("text"))
+        tried.append((-base * SCALES[source], len(tried), m))
+    found = F.filter(F.array(*[m for _, _, m in sorted(tried, key=lambda x: x[:2])]), lambda m: m["text"] != "")
+    made = F.transform(found, lambda m: F.struct(_made(m, config, year).alias("ts"), m["base"].alias("base"), m["source"].alias("source")))
+    pick = lambda a: F.coalesce(F.get(F.filter(a, lambda x: sane(x["ts"])), F.lit(0)), F.get(F.filter(a, lambda x: x["ts"].isNotNull()), F.lit(0)))
+    return F.when(text.rlike("[0-9][0-9]"), let(made, pick))
 
-def _settings(config: Config) -> tuple[ZoneInfo, str, int]:
-    return ZoneInfo(config.zone), "configured_utc" if config.naive_policy == "utc" else "configured_local", config.reference_year or int(config.run_ts[:4])
-
-
-def hunt(text: Column, config: Config) -> Column:
-    """The surest timestamp of a text as struct(ts, base, source), fields null where there is none."""
-    zone, naive, year = _settings(config)
-
-    @F.pandas_udf(_RESULT)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [find(t, zone, naive, year) or (None, None, None) for t in texts]
-        return pd.DataFrame({"ts": pd.to_datetime(pd.Series([f[0] for f in found]), utc=True, errors="coerce").dt.tz_localize(None).astype("datetime64[us]"), "base": pd.Series([f[1] for f in found], dtype="float64"), "source": pd.Series([f[2] for f in found], dtype="object")})
-
-    return run(text)
 
+def as_field(found: Column) -> Column:
+    """A hunted time as a field: confidence scaled by its source; years out of 2000 to 2050 are unknown."""
 
-def which(texts: Column, config: Config) -> Column:
-    """For each text of an array, whether it holds a timestamp."""
-    zone, naive, year = _settings(config)
+    def of(x: Column) -> Column:
+        scale = F.try_element_at(F.create_map(*[F.lit(v) for pair in SCALES.items() for v in pair]), x["source"])
+        confidence = F.round(x["base"] * scale, 6)
+        return F.when(sane(x["ts"]), known(x["ts"], confidence, "timestamp", x["source"])).when(x["ts"].isNotNull(), unknown(x["ts"], F.least(confidence, F.lit(0.4)), "timestamp")).otherwise(absent("timestamp"))
 
-    @F.pandas_udf("array<boolean>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda v: None if v is None else [find(t, zone, naive, year) is not None for t in v])
+    return let(found, of)
 
-    return run(texts)
 
+def timestamp(text: Column, config: Config, year: Column | None = None) -> Column:
+    return as_field(hunt(text, config, year))
 
-def as_field(found: Column) -> Column:
-    """A hunted timestamp as a field: confidence scaled by its source; years out of 2000 to 2050 are unknown."""
-    scale = F.try_element_at(F.create_map(*[F.lit(x) for pair in SCALES.items() for x in pair]), found["source"])
-    confidence = F.round(found["base"] * scale, 6)
-    sane = F.year(found["ts"]).between(2000, 2050)
-    return F.when(found["ts"].isNull(), absent("timestamp")).when(sane, known(found["ts"], confidence, "timestamp", found["source"])).otherwise(unknown(found["ts"], F.least(confidence, F.lit(0.4)), "timestamp"))

@@ -26,13 +26,14 @@ def http_shaped() -> Column:
 
 def activity_key() -> Column:
     """What a record is about: its path, else the program that speaks, else the first words of its message."""
-    path, message = X.known_value(F.col("path")), F.coalesce(X.known_value(F.col("message")), F.lit(""))
-    program = F.btrim(F.regexp_extract(F.regexp_extract(message, "^([^:]{1,80}):", 1), "^([^\\[(]*)", 1))
-    pieces = F.slice(F.filter(F.split(message, "[^A-Za-z0-9]+"), lambda x: x != ""), 1, 12)
-    words = F.slice(F.filter(F.transform(pieces, lambda x: F.lower(x)), lambda x: (F.length(x) > 2) & ~x.rlike("^[0-9]+$") & ~x.isin(_DATES)), 1, 5)
+    path, message = F.btrim(X.known_value(F.col("path"))), F.btrim(F.coalesce(X.known_value(F.col("message")), F.lit("")))
+    head = F.btrim(F.get(F.split(message, ":"), F.lit(0)))
+    program = F.when(F.length(head) <= 80, F.btrim(F.regexp_extract(head, "^([^\\[(]*)", 1)))
+    pieces = F.slice(F.split(F.lower(message), "[^a-z0-9]+"), 1, 12)
+    words = F.slice(F.filter(pieces, lambda x: (F.length(x) > 2) & ~x.rlike("^[0-9]+$") & ~x.isin(_DATES)), 1, 5)
     return (
-        F.when(path.isNotNull() & (path != "/"), path)
-        .when(program.rlike("^[A-Za-z_][A-Za-z0-9_.-]+$"), F.concat(F.lit("svc:"), program))
+        F.when(path.isNotNull() & (path != "/") & (path != ""), path)
+        .when(program.rlike("^[A-Za-z][A-Za-z0-9_.-]+$"), F.concat(F.lit("svc:"), program))
         .when(F.size(words) > 0, F.concat(F.lit("msg:"), F.array_join(words, "-")))
         .otherwise(F.concat(F.lit("parser:"), "parser"))
     )

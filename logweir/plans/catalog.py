@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from logweir.config import Config
 from logweir.functions import fields as X
 from logweir.functions.probe import probe
+from logweir.functions.timestamps import timestamp
 from logweir.operators import gate as G
 from logweir.operators import metrics as M
 from logweir.operators import templates as T
@@ -110,16 +111,14 @@ def _parsed(query_name: str, names: list[str]):
 
 def timestamp_families(spark, sf_dir):
     """One literal of each family for every event."""
-    from logweir.functions.timestamps import as_field, hunt
-
     e = _events(spark, sf_dir).withColumn("ts", F.date_trunc("second", "ts"))
     shapes = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "'['yyyy-MM-dd HH:mm:ss,'000]'", "yyyyMMdd-HH:mm:ss:'000'", "yyyy-MM-dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss '+0000'", "yyMMdd HHmmss", "'['M.dd HH:mm:ss']'", "yy/MM/dd HH:mm:ss", "MMM dd HH:mm:ss"]
     text = F.when(F.col("event_id") % 10 == 9, F.unix_timestamp("ts").cast("string"))
     for k, s in enumerate(shapes):
         text = text.when(F.col("event_id") % 10 == k, F.date_format("ts", s))
-    found = e.withColumn("text", F.concat(F.lit("x "), text, F.lit(" y"))).withColumn("h", hunt(F.col("text"), CONFIG))
-    out = found.select("line_no", as_field(F.col("h")).alias("f"))
-    return out.select("line_no", F.date_format("f.value", "yyyy-MM-dd HH:mm:ss").alias("ts"), "f.state", "f.confidence", "f.source")
+    found = e.withColumn("text", F.concat(F.lit("x "), text, F.lit(" y")))
+    out = found.select("line_no", F.inline(F.array(timestamp(F.col("text"), CONFIG))))
+    return out.select("line_no", F.date_format("value", "yyyy-MM-dd HH:mm:ss").alias("ts"), "state", "confidence", "source")
 
 
 def quarantine_split(spark, sf_dir):
@@ -269,6 +268,22 @@ WITH r AS (
 """
 
 
+#: How sure each field of a record is: positive where known, negative where unknown, null where absent.
+_QUALITY = " UNION ALL ".join(
+    f"SELECT '{field}' AS field, {sure} AS sure FROM r"
+    for field, sure in {
+        "timestamp": "CASE WHEN kind IN (0, 2, 3, 4) THEN 0.95 WHEN kind = 1 THEN 0.93 WHEN kind = 5 THEN 0.7225 WHEN ok THEN 0.5625 END",
+        "ip": "CASE WHEN kind IN (0, 1, 4) THEN 0.95 END",
+        "method": "CASE WHEN kind IN (0, 1, 3, 4) THEN 0.99 WHEN kind >= 5 THEN -0.3 END",
+        "path": "CASE WHEN kind IN (0, 1, 3, 4) THEN 0.95 END",
+        "status": "CASE WHEN kind IN (0, 1, 3, 4) OR (kind >= 5 AND user_id BETWEEN 100 AND 599) THEN 0.9 WHEN kind >= 5 AND user_id BETWEEN 600 AND 999 THEN -0.4 END",
+        "latency_ms": "CASE WHEN kind IN (0, 3, 4) THEN 0.95 WHEN kind >= 5 THEN -0.5 END",
+        "level": "CASE WHEN kind IN (0, 3, 4, 5) OR (kind IN (2, 6) AND event_type = 'error') THEN 0.98 WHEN kind = 2 THEN 0.95 END",
+        "message": "CASE WHEN kind <> 4 THEN 1.0 END",
+    }.items()
+)
+
+
 def core_oracle_sql() -> dict[str, str]:
     hour = "CAST(floor(epoch_us(ts) / 3600000000.0) * 3600 AS BIGINT)"
     six = "CAST(floor(epoch_us(ts) / 21600000000.0) * 21600 AS BIGINT)"
@@ -295,7 +310,8 @@ def core_oracle_sql() -> dict[str, str]:
         "error_rate_buckets": f"{_TRUTH}, k AS (SELECT {six} AS b, err FROM r WHERE ok), {series} SELECT bucket, n, hits, round(rate, 9) AS rate FROM s",
         "error_rate_late": f"WITH k0 AS (SELECT {hour} AS b, event_type = 'error' AS err, (event_id + event_id * 37 % 20) * 1000 + event_id % 1000 AS o FROM events), k AS (SELECT *, max(b) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING) AS top FROM k0) SELECT b AS bucket, count(*) AS n, count(*) FILTER (err) AS hits FROM k WHERE b = top GROUP BY b",
         "error_anomalies": f"WITH k AS (SELECT {hour} AS b, event_type = 'error' AS err FROM events), {series}, w AS (SELECT bucket, rate, median(rate) OVER z AS baseline, mad(rate) OVER z AS d, count(*) OVER z AS c FROM s WINDOW z AS (ORDER BY bucket ROWS 59 PRECEDING)), v AS (SELECT *, CASE WHEN d = 0 AND rate = baseline THEN 0 ELSE 0.6745 * (rate - baseline) / CASE WHEN d = 0 THEN 1e-4 ELSE d END END AS zz FROM w WHERE c >= 20) SELECT bucket, round(rate, 6) AS rate, round(baseline, 6) AS baseline, round(zz, 6) AS z, CASE WHEN zz > 0 THEN 'up' ELSE 'down' END AS direction FROM v WHERE abs(zz) > 2",
-        "latency_percentiles": f"{_TRUTH} SELECT count(*) AS n, 0::BIGINT AS n_low, 0::BIGINT AS n_unknown, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, round(min(ms), 6) AS min, round(max(ms), 6) AS max FROM r WHERE kind = 0",
+        # JSON, key=value and pipes carry a latency; where the token scan takes a user's number for a status, its latency is unknown.
+        "latency_percentiles": f"{_TRUTH}, k AS (SELECT CASE WHEN kind IN (0, 3, 4) THEN ms END AS ms FROM r WHERE kind IN (0, 3, 4) OR (kind >= 5 AND ok AND user_id BETWEEN 100 AND 599)) SELECT count(ms) AS n, 0::BIGINT AS n_low, count(*) - count(ms) AS n_unknown, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.95), 6) AS p95, round(quantile_cont(ms, 0.99), 6) AS p99, round(min(ms), 6) AS min, round(max(ms), 6) AS max FROM k",
         "endpoint_table": "SELECT event_type AS key, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 6) AS error_rate, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, min(event_id) + 1 AS first_line FROM events GROUP BY 1",
         "endpoint_overflow": "WITH k AS (SELECT 'u' || user_id || ':' || event_type AS k0, event_id + 1 AS l, event_type = 'error' AS err, value FROM events), f AS (SELECT k0, row_number() OVER (ORDER BY min(l), k0) AS r FROM k GROUP BY k0) SELECT CASE WHEN r <= 200 THEN k0 ELSE '(other)' END AS key, count(*) AS n, count(*) FILTER (err) AS errors, round(quantile_cont(value, 0.5), 6) AS p50, min(l) AS first_line FROM k JOIN f USING (k0) GROUP BY 1",
         "endpoint_trend": "WITH k AS (SELECT user_id::VARCHAR AS key, event_id AS l, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events), a AS (SELECT key, list(v ORDER BY l) AS x, count(*) AS n FROM k WHERE r <= 20 GROUP BY key), h AS (SELECT key, n, list_sort(x[1:n // 2]) AS o, list_sort(x[n // 2 + 1:n]) AS w FROM a), m AS (SELECT key, n, o[len(o) // 2 + 1] AS o, w[len(w) // 2 + 1] AS w FROM h) SELECT key, CASE WHEN n < 10 OR o <= 0 THEN 'STABLE' WHEN w / o > 1.15 THEN 'DEGRADING' WHEN w / o < 0.85 THEN 'IMPROVING' ELSE 'STABLE' END AS trend FROM m",
@@ -309,7 +325,8 @@ def core_oracle_sql() -> dict[str, str]:
         "format_distribution": f"{_TRUTH}, t AS (SELECT CASE WHEN ok THEN parser ELSE 'quarantined' END AS format FROM r ORDER BY line_no DESC LIMIT 100) SELECT format, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM t GROUP BY format",
         "format_drift": "WITH f AS (SELECT event_id + 1 AS l, (event_id // 170) % 2 AS kv FROM events), w AS (SELECT l, kv, sum(kv) OVER z AS n, count(*) OVER z AS c, first_value(kv) OVER z AS head FROM f WINDOW z AS (ORDER BY l ROWS 99 PRECEDING)), d AS (SELECT l, CASE WHEN n * 2 > c OR (n * 2 = c AND head = 1) THEN 'kv' ELSE 'json' END AS lead FROM w), p AS (SELECT l, lead, lag(lead) OVER (ORDER BY l) AS before FROM d) SELECT l AS line_no, before AS from_format, lead AS to_format FROM p WHERE before <> lead",
         "file_profile": f"{_TRUTH}, a AS (SELECT count(*) FILTER (ok) AS ok_, count(*) AS all_, count(*) FILTER (ok AND kind IN (0, 2, 3, 4)) AS off_ FROM r) SELECT parser, count(*) AS n, round(any_value(ok_) / any_value(all_)::DOUBLE, 9) AS parse_rate, round(any_value(off_) / any_value(ok_)::DOUBLE, 9) AS offset_rate, CASE WHEN any_value(off_) > any_value(ok_) - any_value(off_) THEN 'utc' ELSE 'local' END AS naive_policy FROM r, a WHERE ok GROUP BY parser",
-        "data_quality": f"{_TRUTH}, c AS (SELECT count(*) FILTER (kind = 0) AS j, count(*) FILTER (kind = 1) AS l FROM r) SELECT f AS field, CASE WHEN f IN ('level', 'latency_ms') THEN j ELSE j + l END AS known, 0::BIGINT AS unknown, CASE WHEN f IN ('level', 'latency_ms') THEN l ELSE 0 END AS absent, round(CASE WHEN f IN ('level', 'latency_ms') THEN j / (j + l)::DOUBLE ELSE 1.0 END, 9) AS known_rate FROM c, (SELECT unnest(['timestamp', 'ip', 'method', 'path', 'status', 'latency_ms', 'level', 'message']) AS f)",
+        "data_quality": f"{_TRUTH}, c AS ({_QUALITY}) SELECT field, count(*) FILTER (sure > 0) AS known, count(*) FILTER (sure < 0) AS unknown, count(*) FILTER (sure IS NULL) AS absent, round(count(*) FILTER (sure > 0) / count(*)::DOUBLE, 9) AS known_rate, round(coalesce(avg(sure) FILTER (sure > 0), 0.0), 9) AS mean_confidence FROM c GROUP BY field",
+        "activity_keys": f"{_TRUTH} SELECT CASE WHEN kind IN (0, 1, 3, 4) THEN path WHEN kind = 2 THEN 'msg:' || event_type || '-user' WHEN kind = 5 THEN 'msg:' || lower(level) || '-worker-' || event_type || '-user' ELSE 'msg:host-worker-' || event_type || '-user' END AS key, count(*) AS n FROM r WHERE ok GROUP BY 1",
         "time_span": "SELECT count(*) AS n, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span_seconds FROM events",
         "reference_years": "SELECT 'events' AS file, 2024 AS year",
         "keywords_top": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}'), 1) AS pos FROM documents), c AS (SELECT token, count(*) AS n, min((doc_id, pos)) AS first FROM t WHERE token NOT IN ('the', 'and', 'for', 'with', 'from', 'http', 'true', 'false') GROUP BY token) SELECT token, n FROM c ORDER BY first LIMIT 500",

@@ -23,7 +23,7 @@ def read_lines(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
 def reference_year(lines: DataFrame, now_year: int, max_lines: int = 400) -> DataFrame:
     """(file, year): the year that the first lines speak of; only where it has three votes and 30 percent of them."""
     head = lines.where(F.col("line_no") <= max_lines)
-    shapes = [(r"\d{2}/[A-Za-z]{3}/(\d{4}):\d{2}:\d{2}:\d{2}", 4), (r"\[\w{3}\s+\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+(\d{4})\]", 4), (r"\b(\d{4})-\d{2}-\d{2}\b", 3), (r"\b((?:19|20)\d{2})\b", 1)]
+    shapes = [(r"\d{2}/[A-Za-z]{3}/(\d{4}):\d{2}:\d{2}:\d{2}", 4), (r"\[(?:[A-Z][a-z]{2} +){2}[0-9 ]?[0-9] [0-9:]{8} ([0-9]{4})\]", 4), (r"\b(\d{4})-\d{2}-\d{2}\b", 3), (r"\b((?:19|20)\d{2})\b", 1)]
     votes = None
     for rule, (shape, weight) in enumerate(shapes):
         part = head.select("file", "line_no", F.posexplode(F.regexp_extract_all("value", F.lit(shape), F.lit(1))).alias("pos", "y")).select("file", "line_no", F.lit(rule).alias("rule"), "pos", F.col("y").cast("int").alias("year"), F.lit(weight).alias("w"))
