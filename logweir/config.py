@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
-from zoneinfo import ZoneInfo
+from functools import lru_cache
+from zoneinfo import available_timezones
 
 PROFILES = ("strict", "pragmatic", "forensics")
 
 
+@lru_cache
+def zone_named(name: str) -> str:
+    """The zone that a name means: `local`, `localtime` and `system` are this host's, letter case is free, and a name that
+    no zone has means UTC."""
+    wanted = name.strip().lower()
+    if wanted in ("local", "localtime", "system"):
+        wanted = os.environ.get("TZ", "").lstrip(":").lower()
+        if not wanted:
+            link = os.path.realpath("/etc/localtime")
+            wanted = link.split("zoneinfo/", 1)[1].lower() if "zoneinfo/" in link else "utc"
+    return {z.lower(): z for z in available_timezones()}.get(wanted, "UTC")
+
+
 @dataclass(frozen=True)
 class Config:
     """threshold: least confidence of a timestamp (strict: of every field). log_tz: zone of times without an offset where
@@ -33,11 +48,10 @@ class Config:
             raise ValueError("naive_policy must be local or utc")
         if not 0 <= self.threshold <= 1:
             raise ValueError("threshold must lie between 0 and 1")
-        ZoneInfo(self.log_tz)
 
     @property
     def zone(self) -> str:
-        return "UTC" if self.naive_policy == "utc" else self.log_tz
+        return "UTC" if self.naive_policy == "utc" else zone_named(self.log_tz)
 
     @property
     def allows_synthetic(self) -> bool:

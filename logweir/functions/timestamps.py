@@ -38,6 +38,9 @@ FAMILIES = [
     (0.75, "bsd", f"\\b{_NAME}\\s+[0-9]{{1,2}}\\s+{_CLOCK}\\b", "syslog_assumption"),
     (0.75, "epoch", "\\b[0-9]{10}\\b", "explicit_offset"),
     (0.72, "wall", f"\\[[0-9]{{1,2}}[.][0-9]{{1,2}}\\s+{_CLOCK}\\]", None),
+    # Loosely written dates, only where nothing else is found: year and month by - or /, or a month's name between slashes.
+    (0.68, "loose", "\\b[0-9]{4}[-/][0-9]{2}(?:[-/][0-9]{1,2})?(?:[ T]+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?(?![0-9])", None),
+    (0.68, "loose_named", f"\\b[0-9]{{2}}/{_NAME}/[0-9]{{4}}(?:[: ][0-9]{{2}}:[0-9]{{2}}(?::[0-9]{{2}})?)?(?![0-9])", None),
 ]
 
 
@@ -57,6 +60,7 @@ def _made(m: Column, config: Config, given: Column) -> Column:
         """Year, month, day, hour, minute, second and fraction as texts, and the offset in minutes."""
         of = lambda *places: F.array(*[p if isinstance(p, Column) else F.coalesce(F.get(r, F.lit(p)), F.lit("")) if p is not None else F.lit("") for p in places])
         cut = lambda run, *widths: [F.substring(F.get(r, F.lit(run)), 1 + sum(widths[:k]), w) for k, w in enumerate(widths)]
+        or_ = lambda place, default: F.coalesce(F.get(r, F.lit(place)), F.lit(default))
         year = F.coalesce(given, F.lit(now.year)).cast("string")
         return (
             F.when(kind == "named", of(4, month, 0, 1, 2, 3, None))
@@ -65,6 +69,8 @@ def _made(m: Column, config: Config, given: Column) -> Column:
             .when(kind == "sixes", of(*cut(0, 2, 2, 2), *cut(1, 2, 2, 2), None))
             .when(kind == "bsd", of(year, month, 0, 1, 2, 3, None))
             .when(kind == "wall", of(year, 0, 1, 2, 3, 4, None))
+            .when(kind == "loose", of(0, 1, or_(2, "1"), or_(3, "0"), or_(4, "0"), or_(5, "0"), None))
+            .when(kind == "loose_named", of(1, month, 0, or_(2, "0"), or_(3, "0"), or_(4, "0"), None))
             # Of a time with an offset and no fraction, the seventh run is the offset.
             .otherwise(of(0, 1, 2, 3, 4, 5, F.when(text.rlike("[.,]"), F.coalesce(F.get(r, F.lit(6)), F.lit(""))).otherwise("")))
         )
@@ -97,8 +103,10 @@ def hunt(text: Column, config: Config, year: Column | None = None) -> Column:
     for base, kind, shape, source in FAMILIES:
         source = source or naive
         m = F.struct(F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.lit(source).alias("source"), F.lit(source == "explicit_offset").alias("offset"), F.regexp_extract(text, shape, 0).alias("text"))
-        tried.append((-base * SCALES[source], len(tried), m))
-    found = F.filter(F.array(*[m for _, _, m in sorted(tried, key=lambda x: x[:2])]), lambda m: m["text"] != "")
+        tried.append((kind.startswith("loose"), -base * SCALES[source], len(tried), m))
+    found = F.filter(F.array(*[x[-1] for x in sorted(tried, key=lambda x: x[:3])]), lambda m: m["text"] != "")
+    # No loose dates in lines that begin with a priority.
+    found = F.when(text.rlike("^<[0-9]"), F.filter(found, lambda m: ~m["kind"].startswith("loose"))).otherwise(found)
     made = F.transform(found, lambda m: F.struct(_made(m, config, year).alias("ts"), m["base"].alias("base"), m["source"].alias("source")))
     pick = lambda a: F.coalesce(F.get(F.filter(a, lambda x: sane(x["ts"])), F.lit(0)), F.get(F.filter(a, lambda x: x["ts"].isNotNull()), F.lit(0)))
     return F.when(text.rlike("[0-9][0-9]"), let(made, pick))

@@ -25,10 +25,22 @@ def gate(parsed: DataFrame, config: Config) -> DataFrame:
     return out.withColumn("event_ts", F.when(t["state"].isin("known", "unknown"), t["value"])).withColumnRenamed("status_", "verdict")
 
 
-def context_before(records: DataFrame, n: int = 5, width: int = 200) -> DataFrame:
-    """Adds context_before: the first `width` characters of the n records before."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(-n, -1)
-    return records.withColumn("context_before", F.collect_list(F.substring("raw", 1, width)).over(w))
+def context_before(records: DataFrame, n: int = 5, width: int = 200, stretch: int = 65536) -> DataFrame:
+    """Adds context_before: the first `width` characters of the n records before. A file is cut into stretches of lines, each
+    with the last n records of the stretch before it, so that no task sees a whole file. Records so long that a stretch
+    holds fewer than n of them take context from the one stretch before alone."""
+    part = F.floor(F.col("line_no") / stretch)
+    rows = records.withColumn("_part", part)
+    last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("file", "_part").orderBy(F.desc("line_no")))).where(F.col("_r") <= n)
+    lent = last.withColumn("_part", F.col("_part") + 1).withColumn("_own", F.lit(False)).drop("_r")
+    both = rows.withColumn("_own", F.lit(True)).unionByName(lent)
+    w = Window.partitionBy("file", "_part").orderBy("line_no").rowsBetween(-n, -1)
+    return both.withColumn("context_before", F.collect_list(F.substring("raw", 1, width)).over(w)).where("_own").drop("_own", "_part")
+
+
+def quarantined(gated: DataFrame, n: int = 5) -> DataFrame:
+    """The rejected records with reason and the records before them, as a table to write."""
+    return context_before(gated, n).where("verdict = 'quarantined'").select("file", "line_no", "reason", "raw", "context_before", "event_ts")
 
 
 def reasons(gated: DataFrame) -> DataFrame:

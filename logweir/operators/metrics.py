@@ -48,24 +48,35 @@ def totals(gated: DataFrame) -> DataFrame:
 
 
 def on_time(rows: DataFrame, seconds: int, *, ts: str = "ts", order: str = "line_no") -> DataFrame:
-    """Adds `bucket` (epoch seconds) and keeps rows that no row before them overtook: a newer bucket closes all older ones.
+    """Adds `bucket` (epoch seconds) and keeps rows that no row of their file before them overtook: a newer bucket closes
+    all older ones. Rows without a `file` are of one file.
 
     The running maximum goes in two steps, within ranges of the order first and then over one row a range, so no task
     sees all rows.
     """
     rows = rows.where(F.col(ts).isNotNull()).withColumn("bucket", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)) * seconds)
-    part = F.floor(F.col(order) / 65536)
-    rows = rows.withColumn("_part", part)
-    tops = rows.groupBy("_part").agg(F.max("bucket").alias("_top"))
-    before = tops.select("_part", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    running = F.max("bucket").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = rows.withColumn("_running", running).join(before, "_part")
-    return joined.where(F.col("bucket") >= F.greatest("_running", F.coalesce("_before", F.lit(-(2**62))))).drop("_part", "_running", "_before")
+    file = F.col("file") if "file" in rows.columns else F.lit("")
+    rows = rows.withColumn("_file", file).withColumn("_part", F.floor(F.col(order) / 65536))
+    tops = rows.groupBy("_file", "_part").agg(F.max("bucket").alias("_top"))
+    before = tops.select("_file", "_part", F.max("_top").over(Window.partitionBy("_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    running = F.max("bucket").over(Window.partitionBy("_file", "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("_running", running).join(before, ["_file", "_part"])
+    return joined.where(F.col("bucket") >= F.greatest("_running", F.coalesce("_before", F.lit(-(2**62))))).drop("_file", "_part", "_running", "_before")
+
+
+def late(rows: DataFrame, seconds: int, *, ts: str = "ts", order: str = "line_no") -> DataFrame:
+    """The rows that `on_time` leaves out, each with its bucket."""
+    kept = on_time(rows, seconds, ts=ts, order=order)
+    keys = [c for c in ("file", order) if c in rows.columns]
+    bucket = (F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)) * seconds).alias("bucket")
+    return rows.where(F.col(ts).isNotNull()).select("*", bucket).join(kept.select(*keys), keys, "left_anti")
 
 
 def rate_series(rows: DataFrame, flag: Column, seconds: int, **how) -> DataFrame:
     """bucket, n, hits and rate of a flag in tumbling windows of event time."""
-    kept = on_time(rows.withColumn("_flag", flag), seconds, **how)
+    order = how.get("order", "line_no")
+    few = [c for c in ("file", order, how.get("ts", "ts")) if c in rows.columns]
+    kept = on_time(rows.select(*few, flag.alias("_flag")), seconds, **how)
     return kept.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("_flag").alias("hits")).withColumn("rate", F.col("hits") / F.col("n"))
 
 
@@ -113,7 +124,7 @@ def trend(rows: DataFrame, last: int = 20) -> DataFrame:
     recent = top.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "ms"))), lambda x: x["ms"]).alias("ms"))
     n = F.size("ms")
     half = F.floor(n / 2).cast("int")
-    upper = lambda a: F.element_at(F.array_sort(a), F.floor(F.size(a) / 2).cast("int") + 1)
+    upper = lambda a: F.try_element_at(F.array_sort(a), F.floor(F.size(a) / 2).cast("int") + 1)
     recent = recent.withColumn("old", upper(F.slice("ms", 1, half))).withColumn("new", upper(F.slice("ms", half + 1, n - half)))
     ratio = F.when(F.col("old") > 0, F.col("new") / F.col("old"))
     return recent.select("key", F.when(n < 10, "STABLE").when(ratio > 1.15, "DEGRADING").when(ratio < 0.85, "IMPROVING").otherwise("STABLE").alias("trend"))
@@ -185,6 +196,14 @@ def time_span(rows: DataFrame, ts: str = "ts") -> DataFrame:
     return out.withColumn("span_seconds", (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 1e6)
 
 
+def per_file(gated: DataFrame) -> DataFrame:
+    """file, total, accepted, quarantined, errors, their rates, and the parser that claims most: a row a file."""
+    ok = F.col("verdict") == "accepted"
+    out = gated.groupBy("file").agg(F.count("*").alias("total"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("quarantined"), F.count_if(ok & is_error()).alias("errors"), F.mode("parser").alias("parser"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return out.withColumns({"accept_rate": rate("accepted", "total"), "quarantine_rate": rate("quarantined", "total"), "error_rate": rate("errors", "accepted")})
+
+
 def accepted_series(gated: DataFrame, config: Config) -> DataFrame:
     rows = gated.where("verdict = 'accepted'").withColumn("ts", F.col("event_ts"))
     return rate_series(rows, is_error(), config.bucket_seconds)

@@ -226,4 +226,4 @@ def parse(records: DataFrame, config: Config) -> DataFrame:
     if key not in _made:
         _made[key] = F.inline(F.array(record(F.col("raw"), config, F.col("ref_year") if dated else None)))
     kept = [F.col("file"), F.col("line_no").cast("long").alias("line_no"), F.col("raw"), F.col("n_lines").cast("int").alias("n_lines")]
-    return records.select(*kept, _made[key])
+    return records.select(*kept, *([F.col("ref_year")] if dated else []), _made[key])

@@ -6,6 +6,7 @@ columns of `events` and never parses a line.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,11 @@ from logweir.operators import templates as T
 from logweir.operators.parsers import parse
 from logweir.operators.records import assemble
 from logweir.plans import reports as R
-from logweir.plans.engine import anomalies, gated, tables
+from logweir.plans import views as V
+from logweir.plans.engine import anchored, anomalies, gated, tables
 from logweir.sources.render import render, rendered
 from logweir.sources.text import reference_year
-from logweir.streaming.rates import error_windows, run_available
+from logweir.streaming.rates import endpoint_counts, error_windows, rolling, run_available
 
 #: `events` are minutes apart: six hours a bucket.
 CONFIG = Config(reference_year=2024, bucket_seconds=21_600)
@@ -84,6 +86,93 @@ def endpoint_trend(spark, sf_dir):
     return M.trend(_keyed(spark, sf_dir, F.col("user_id").cast("string")))
 
 
+def _endpoints(spark, sf_dir):
+    """Of users and event types: the first 200 pairs by arrival, and all others in one row."""
+    return M.endpoints(_keyed(spark, sf_dir, F.concat(F.lit("u"), F.col("user_id"), F.lit(":"), F.col("event_type"))))
+
+
+def endpoints_by_volume(spark, sf_dir):
+    return V.top_endpoints(_endpoints(spark, sf_dir)).select("key", "n", "errors")
+
+
+def endpoints_by_latency(spark, sf_dir):
+    return V.top_endpoints(_endpoints(spark, sf_dir), "latency", 25).select("key", "n", F.round("p99", 6).alias("p99"))
+
+
+def endpoints_failing(spark, sf_dir):
+    return V.failing_endpoints(M.endpoints(_keyed(spark, sf_dir, F.concat("event_type", F.col("user_id") % 5)))).select("key", "n", "errors")
+
+
+def endpoint_slowest(spark, sf_dir):
+    return V.slowest_endpoint(_endpoints(spark, sf_dir)).select("key", "n", F.round("p99", 6).alias("p99"))
+
+
+def keywords_shown(spark, sf_dir):
+    return V.top_keywords(keywords_top(spark, sf_dir))
+
+
+def format_mix(spark, sf_dir):
+    return V.format_mix(_gated(spark, sf_dir))
+
+
+def weakest_fields(spark, sf_dir):
+    return V.weakest_fields(M.data_quality(_gated(spark, sf_dir))).select("field", F.round("known_rate", 9).alias("known_rate"))
+
+
+def quality_score(spark, sf_dir):
+    return V.overall_quality(M.data_quality(_gated(spark, sf_dir))).select(F.round("score", 9).alias("score"))
+
+
+def overview(spark, sf_dir):
+    out = V.overview(M.totals(_gated(spark, sf_dir)), 2.0)
+    return out.select("total", "accepted", "quarantined", *[F.round(c, 6).alias(c) for c in ("accept_pct", "quarantine_pct", "error_pct", "throughput")])
+
+
+def per_file(spark, sf_dir):
+    """The log dealt over three files, each with line numbers of its own."""
+    rows = _records(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), F.col("line_no") % 3)).withColumn("line_no", F.floor(F.col("line_no") / 3))
+    return M.per_file(gated(rows, CONFIG)).select("file", "total", "accepted", "quarantined", "errors", F.round("error_rate", 9).alias("error_rate"))
+
+
+def per_file_series(spark, sf_dir):
+    """The same three files: each closes its own buckets."""
+    rows = _events(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), F.col("line_no") % 3)).withColumn("line_no", F.floor(F.col("line_no") / 3))
+    return M.rate_series(rows, F.col("error"), CONFIG.bucket_seconds).select("bucket", "n", "hits")
+
+
+def late_rows(spark, sf_dir):
+    """The rows that the series of error_rate_late leaves out."""
+    e = _events(spark, sf_dir)
+    shuffled = e.withColumn("line_no", (F.col("event_id") + (F.col("event_id") * 37) % 20) * 1000 + F.col("event_id") % 1000)
+    return M.late(shuffled, 3600).select("event_id", "bucket")
+
+
+def quarantine_series(spark, sf_dir):
+    return M.quarantine_series(_gated(spark, sf_dir), CONFIG).select("bucket", "n", "hits")
+
+
+def learned_years(spark, sf_dir):
+    """Times without a year, where neither settings nor the clock name the log's."""
+    config = Config(run_ts="2030-06-01 00:00:00", bucket_seconds=21_600)
+    rows = anchored(gated(_records(spark, sf_dir), config), config).where("timestamp.source = 'syslog_assumption'")
+    return rows.select("line_no", F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+def zoned_times(spark, sf_dir):
+    """Times without an offset in a zone named in another letter case, read through both changes of its clocks."""
+    config = Config(log_tz="america/chicago", reference_year=2024)
+    e = _events(spark, sf_dir).select("line_no", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("event_id") * 3600 % 31_536_000).alias("wall"))
+    out = e.select("line_no", F.inline(F.array(timestamp(F.date_format("wall", "yyyy-MM-dd HH:mm:ss"), config))))
+    return out.select("line_no", F.unix_seconds("value").alias("seconds"), "confidence")
+
+
+def loose_dates(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    text = F.concat(F.lit("on "), F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy/MM/dd HH:mm")).otherwise(F.date_format("ts", "dd/MMM/yyyy")), F.lit(" it rained"))
+    out = e.select("line_no", F.inline(F.array(timestamp(text, CONFIG))))
+    return out.select("line_no", F.date_format("value", "yyyy-MM-dd HH:mm").alias("ts"), "confidence", "source")
+
+
 def format_probe(spark, sf_dir):
     return _records(spark, sf_dir).select("line_no", probe(F.col("raw")).alias("p")).select("line_no", "p.hint", "p.confidence")
 
@@ -216,13 +305,30 @@ def stream_error_rate(spark, sf_dir):
     stream = _stream(spark, sf_dir)
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("error")).withWatermark("ts", "0 seconds")
     out = rows.groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.count_if("error").alias("hits"))
-    return run_available(out.select(F.unix_timestamp("w.start").alias("bucket"), "n", "hits"), f"stream_error_rate_{abs(hash(sf_dir))}")
+    return run_available(out.select(F.unix_timestamp("w.start").alias("bucket"), "n", "hits"), _named("stream_error_rate", sf_dir))
 
 
 def stream_log_error_rate(spark, sf_dir):
     """Lines rendered from a stream of `events`, parsed, gated and counted in windows; no row is late in complete mode."""
     lines = render(spark, _stream(spark, sf_dir)).select("file", "line_no", F.col("value").alias("raw"), F.lit(1).alias("n_lines"))
-    return run_available(error_windows(gated(lines, CONFIG), CONFIG), f"stream_log_error_rate_{abs(hash(sf_dir))}")
+    return run_available(error_windows(gated(lines, CONFIG), CONFIG), _named("stream_log_error_rate", sf_dir))
+
+
+def stream_endpoints(spark, sf_dir):
+    """Endpoints of rendered lines, counted by key in a stream's state."""
+    lines = render(spark, _stream(spark, sf_dir)).select("file", "line_no", F.col("value").alias("raw"), F.lit(1).alias("n_lines"))
+    return run_available(endpoint_counts(gated(lines, CONFIG)), _named("stream_endpoints", sf_dir))
+
+
+def stream_late_rows(spark, sf_dir):
+    """Rows in order, each late where its file has seen a newer bucket; added up over batches."""
+    e = _stream(spark, sf_dir).select(F.lit("events").alias("file"), ((F.col("event_id") + (F.col("event_id") * 37) % 20) * 1000 + F.col("event_id") % 1000).alias("line_no"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("error"))
+    out = run_available(rolling(e, 3600), _named("stream_late_rows", sf_dir), "append")
+    return out.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "late")])
+
+
+def _named(name, sf_dir):
+    return f"{name}_{zlib.crc32(sf_dir.encode())}"
 
 
 def _stream(spark, sf_dir):
@@ -248,7 +354,7 @@ _PARSED = {
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = [error_rate_overall, error_rate_buckets, error_rate_late, error_anomalies, latency_percentiles, endpoint_table, endpoint_overflow, endpoint_trend, format_probe, timestamp_families, quarantine_split, quarantine_strict, quarantine_forensics, quarantine_reasons, quarantine_context, record_groups, format_distribution, format_drift, file_profile, data_quality, time_span, reference_years, keywords_top, activity_keys, error_templates, error_tree, health_badge, stream_error_rate, stream_log_error_rate]
+    plain = [error_rate_overall, error_rate_buckets, error_rate_late, error_anomalies, latency_percentiles, endpoint_table, endpoint_overflow, endpoint_trend, format_probe, timestamp_families, quarantine_split, quarantine_strict, quarantine_forensics, quarantine_reasons, quarantine_context, record_groups, format_distribution, format_drift, file_profile, data_quality, time_span, reference_years, keywords_top, activity_keys, error_templates, error_tree, health_badge, stream_error_rate, stream_log_error_rate, endpoints_by_volume, endpoints_by_latency, endpoints_failing, endpoint_slowest, keywords_shown, format_mix, weakest_fields, quality_score, overview, per_file, per_file_series, late_rows, quarantine_series, learned_years, zoned_times, loose_dates, stream_endpoints, stream_late_rows]
     made = {name: _parsed(name, names) for name, (_, names) in _PARSED.items()} | {"parsed_untimed": _parsed("parsed_untimed", ["status", "message"])}
     reports = {"summary_report": _report(R.summary), "json_report": _report(lambda t: R.document(t, CONFIG)), "insights": _report(R.insights), "rate_bars": _report(lambda t: R.bars(t["error_series"]))}
     return {f.__name__: f for f in plain} | made | reports
@@ -305,7 +411,31 @@ def core_oracle_sql() -> dict[str, str]:
                 columns.append({"latency_ms": "ms AS latency_ms"}.get(f, f))
         parsed[name] = f"{_TRUTH} SELECT line_no, parser, {', '.join(columns)} FROM r WHERE {where}"
     parsed["parsed_untimed"] = f"{_TRUTH} SELECT line_no, parser, CASE WHEN user_id BETWEEN 100 AND 599 THEN user_id ELSE 0 END AS status, 'no time here ' || message AS message FROM r WHERE NOT ok"
+    # Endpoints by user and type, as in endpoint_overflow, with p99.
+    ends = "k AS (SELECT 'u' || user_id || ':' || event_type AS k0, event_id + 1 AS l, event_type = 'error' AS err, value FROM events), f AS (SELECT k0, row_number() OVER (ORDER BY min(l), k0) AS r FROM k GROUP BY k0), ends AS (SELECT CASE WHEN r <= 200 THEN k0 ELSE '(other)' END AS key, count(*) AS n, count(*) FILTER (err) AS errors, quantile_cont(value, 0.99) AS p99, min(l) AS first_line FROM k JOIN f USING (k0) GROUP BY 1)"
+    lateness = "k0 AS (SELECT event_id, " + hour + " AS b, event_type = 'error' AS err, (event_id + event_id * 37 % 20) * 1000 + event_id % 1000 AS o FROM events), k AS (SELECT *, max(b) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING) AS top FROM k0)"
+    words = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{2,}'), 1) AS pos FROM documents), c AS (SELECT token, count(*) AS n, min((doc_id, pos)) AS first FROM t WHERE token NOT IN ('the', 'and', 'for', 'with', 'from', 'http', 'true', 'false') GROUP BY token), w AS (SELECT token, n FROM c ORDER BY first LIMIT 500)"
+    glyphs = "'▁▂▃▄▅▆▇█'"
     return parsed | {
+        "endpoints_by_volume": f"WITH {ends} SELECT key, n, errors FROM ends ORDER BY key = '(other)', n DESC, first_line LIMIT 10",
+        "endpoints_by_latency": f"WITH {ends} SELECT key, n, round(p99, 6) AS p99 FROM ends ORDER BY key = '(other)', ends.p99 DESC, first_line LIMIT 25",
+        "endpoints_failing": "WITH k AS (SELECT event_type || (user_id % 5) AS key, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, min(event_id) AS f FROM events GROUP BY 1), t AS (SELECT * FROM k ORDER BY errors / n::DOUBLE DESC, f LIMIT 8) SELECT key, n, errors FROM t WHERE n >= 3 AND errors > 0",
+        "endpoint_slowest": f"WITH {ends}, t AS (SELECT * FROM ends ORDER BY key = '(other)', p99 DESC, first_line LIMIT 1) SELECT key, n, round(p99, 6) AS p99 FROM t WHERE n >= 3 AND t.p99 > 0",
+        "keywords_shown": f"WITH {words} SELECT token, n FROM w ORDER BY n DESC, token LIMIT 15",
+        "format_mix": f"{_TRUTH} SELECT parser AS format, round(100.0 * count(*) / sum(count(*)) OVER (), 0)::INTEGER AS percent, count(*) AS n FROM r WHERE ok GROUP BY parser ORDER BY n DESC, format LIMIT 4",
+        "weakest_fields": f"{_TRUTH}, c AS ({_QUALITY}) SELECT field, round(count(*) FILTER (sure > 0) / count(*)::DOUBLE, 9) AS known_rate FROM c GROUP BY field ORDER BY count(*) FILTER (sure > 0), field LIMIT 3",
+        "quality_score": f"{_TRUTH}, c AS ({_QUALITY}) SELECT round(count(*) FILTER (sure > 0) / count(*)::DOUBLE, 9) AS score FROM c",
+        "overview": f"{_TRUTH} SELECT count(*) AS total, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS quarantined, round(100.0 * count(*) FILTER (ok) / count(*), 6) AS accept_pct, round(100.0 * count(*) FILTER (NOT ok) / count(*), 6) AS quarantine_pct, round(100.0 * count(*) FILTER (ok AND err) / count(*) FILTER (ok), 6) AS error_pct, round(count(*) / 2.0, 6)::DOUBLE AS throughput FROM r",
+        "per_file": f"{_TRUTH} SELECT 'f' || (line_no % 3) AS file, count(*) AS total, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS quarantined, count(*) FILTER (ok AND err) AS errors, round(count(*) FILTER (ok AND err) / count(*) FILTER (ok)::DOUBLE, 9) AS error_rate FROM r GROUP BY 1",
+        "per_file_series": f"SELECT {six} AS bucket, count(*) AS n, count(*) FILTER (event_type = 'error') AS hits FROM events GROUP BY 1",
+        "late_rows": f"WITH {lateness} SELECT event_id, b AS bucket FROM k WHERE b < top",
+        "stream_late_rows": f"WITH {lateness} SELECT b AS bucket, count(*) FILTER (b = top) AS n, count(*) FILTER (b = top AND err) AS hits, count(*) FILTER (b < top) AS late FROM k GROUP BY b",
+        "quarantine_series": f"{_TRUTH} SELECT {six} AS bucket, count(*) AS n, 0::BIGINT AS hits FROM r WHERE ok GROUP BY 1",
+        "learned_years": f"{_TRUTH} SELECT line_no, timestamp AS ts FROM r WHERE event_id % 14 = 13",
+        "zoned_times": "WITH w AS (SELECT event_id + 1 AS line_no, 1704067200 + event_id * 3600 % 31536000 AS s FROM events) SELECT line_no, (s + CASE WHEN s >= 1710039600 AND s < 1730595600 THEN 18000 WHEN s >= 1730595600 AND s < 1730599200 THEN 18000 ELSE 21600 END)::BIGINT AS seconds, 0.7225::DOUBLE AS confidence FROM w",
+        "loose_dates": "SELECT event_id + 1 AS line_no, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M') ELSE strftime(ts, '%Y-%m-%d 00:00') END AS ts, 0.578::DOUBLE AS confidence, 'configured_local' AS source FROM events",
+        "stream_endpoints": f"{_TRUTH} SELECT CASE WHEN kind IN (0, 1, 3, 4) THEN path WHEN kind = 2 THEN 'msg:' || event_type || '-user' WHEN kind = 5 THEN 'msg:' || lower(level) || '-worker-' || event_type || '-user' ELSE 'msg:host-worker-' || event_type || '-user' END AS key, count(*) AS n, count(*) FILTER (err) AS errors FROM r WHERE ok GROUP BY 1",
+        "rate_bars": f"{_TRUTH}, k AS (SELECT {six} AS b, err FROM r WHERE ok), {series}, t AS (SELECT bucket, rate FROM s ORDER BY bucket DESC LIMIT 12), p AS (SELECT max(rate) AS peak FROM t) SELECT string_agg(CASE WHEN rate > 0 THEN substr({glyphs}, CAST(floor(rate / peak * 7) AS INTEGER) + 1, 1) ELSE substr({glyphs}, 1, 1) END, '' ORDER BY bucket) AS bars FROM t, p",
         "error_rate_overall": f"{_TRUTH} SELECT count(*) AS total, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS quarantined, count(*) FILTER (ok AND err) AS errors, round(count(*) FILTER (ok AND err) / count(*) FILTER (ok)::DOUBLE, 9) AS error_rate FROM r",
         "error_rate_buckets": f"{_TRUTH}, k AS (SELECT {six} AS b, err FROM r WHERE ok), {series} SELECT bucket, n, hits, round(rate, 9) AS rate FROM s",
         "error_rate_late": f"WITH k0 AS (SELECT {hour} AS b, event_type = 'error' AS err, (event_id + event_id * 37 % 20) * 1000 + event_id % 1000 AS o FROM events), k AS (SELECT *, max(b) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING) AS top FROM k0) SELECT b AS bucket, count(*) AS n, count(*) FILTER (err) AS hits FROM k WHERE b = top GROUP BY b",
