@@ -19,7 +19,7 @@ from logweir.llm.pii import op8_pii
 
 from logweir.llm.pieces import op4_sentencepiece
 
-from logweir.llm.substrings import op2_substring_dedup
+from logweir.llm.substrings import OP2_SQL, op2_substring_dedup
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -38,4 +38,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL}

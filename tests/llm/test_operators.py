@@ -50,6 +50,7 @@ def empty(spark):
 
 def test_substrings(docs, texts, empty):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.covered_words(docs).collect()}
+    spans = {r.doc_id: r.spans for r in substrings.covered_words(docs).select("doc_id", "spans").collect()}
     first: dict = {}
     for i in sorted(texts):
         w = WORD.findall(texts[i] or "")
@@ -59,6 +60,7 @@ def test_substrings(docs, texts, empty):
         w = WORD.findall(t or "")
         gone = [any(first[tuple(w[j : j + 13])] < i for j in range(max(0, k - 12), min(k, len(w) - 13) + 1)) for k in range(len(w))]
         kept = " ".join(x for x, g in zip(w, gone) if not g)
+        assert [k for a, b in spans[i] for k in range(a, b)] == [k for k, g in enumerate(gone) if g]
         assert got[i] == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()), i
     assert substrings.covered_words(empty).count() == 0
 
