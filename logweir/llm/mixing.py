@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import WORD, documents, n_words, stored
+from logweir.llm.common import WORD, documents, n_words, parallelism, stored
 
 #: Words in a block; slots in a shard.
 BLOCK, SLOTS = 32, 2048
@@ -147,7 +147,8 @@ def slots(spark: SparkSession, sizes: list[tuple[str | None, int]], wanted: dict
     left = sources.join(got, "s", "left").select("s", F.coalesce("got", F.lit(0)).alias("got"), (F.col("due") - F.coalesce("got", F.lit(0))).alias("left")).where("left > 0")
     rest = left.select("s", "got", "left", F.explode(F.sequence(F.lit(0), F.floor((F.col("left") - 1) / SLOTS))).alias("k"))
     rest = rest.select((F.col("k") + first).alias("shard"), "s", F.least(F.lit(SLOTS), F.col("left") - F.col("k") * SLOTS).alias("m"), (F.col("got") + F.col("k") * SLOTS).alias("before"))
-    every = counts.select("shard", "s", "m", "before").unionByName(rest)
+    # A row here is up to SLOTS rows below: dealt to all tasks, as so few rows would else be put into one.
+    every = counts.select("shard", "s", "m", "before").unionByName(rest).repartition(parallelism(spark), "shard", "s")
     one = every.join(sources, "s").select("shard", "s", "n", "a", "b", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("m") - 1)).alias("t"))
     # No slot beyond `REPEATS` rounds: a draw may pass what a source has.
     one = one.where(F.col("t") < REPEATS * F.col("n"))

@@ -78,8 +78,13 @@ def _covered(pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> tuple[np
     """The subtree of one group. pieces: words of each context; low, high: the least and greatest document that holds it.
     Returns the windows whose node is deep and holds a document smaller than one of the context's: context, place in it,
     the node's smallest document."""
-    _, _, _, flat, first = hashed_words(pieces)
-    lengths = np.diff(first)
+    flat, lengths = [], []
+    for a, b in slices(np.array([len(p) for p in pieces]), 1_000_000):  # hashing takes some 50 bytes a byte
+        _, _, _, hashes, begins = hashed_words(pieces[a:b])
+        flat.append(hashes)
+        lengths.append(np.diff(begins))
+    flat, lengths = np.concatenate(flat), np.concatenate(lengths)
+    first = np.concatenate([[0], np.cumsum(lengths)])
     # Ranks of prefixes of 1, 2, 4, 8 and WINDOW words, level by level; a run's last places reach past its end and are not asked for.
     def level(x: np.ndarray, y: np.ndarray, step: int) -> np.ndarray:
         n = min(len(x), len(y) - step)
