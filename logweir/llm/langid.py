@@ -3,7 +3,8 @@ texts, one-versus-rest kernel ridge regression, scored by products of whole batc
 
 k(x, z) = |X & Z| / sqrt(|X| |Z|), X and Z being the sets of hashed 1- to 3-grams of the lower-cased
 texts. A text that is null or has no letter is `und` with score 0. Texts are read whole; repeated rows
-are scored each for itself; equal scores go to the language that sorts first.
+are scored each for itself; equal scores go to the language that sorts first. Ids are integers; columns that clash
+with no column named here are left alone. No rows give no rows, and a fit without labelled rows predicts `und`.
 """
 
 from __future__ import annotations
@@ -12,18 +13,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.common import batch, crc_mod, documents, slices, small_batches
 
 ORDERS = (1, 2, 3)
-BITS = 13
+BITS = 15
 #: About so many labelled texts of each language are read by a fit, and so many in all serve as landmarks.
 SAMPLE = 1000
 LANDMARKS = 256
-#: Languages that a model tells apart at most: the most frequent ones.
-LANGUAGES = 500
+#: Words in a part of a text, and the margin of a whole text below which its parts are looked at.
+PART, DOUBTFUL = 60, 0.65
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -71,7 +72,8 @@ def fit_texts(texts: list[str], langs: list[str], ridge: float = 1e-2) -> dict:
     names = sorted(set(langs))
     if not names:
         return {"names": [], "landmarks": np.zeros((0, 1 << BITS), np.uint8), "alpha": np.zeros((0, 0))}
-    y = np.array([names.index(x) for x in langs])
+    number = {x: k for k, x in enumerate(names)}
+    y = np.array([number[x] for x in langs])
     each = max(2, LANDMARKS // len(names))
     at = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(names))])
     marks = np.concatenate([presence([texts[i]]) for i in at])
@@ -94,11 +96,24 @@ def predict_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.n
 
 def judge_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages and scores, and what tells a text of a learned language from others: the margin of its class value over
-    the second (of one language alone: over the value's negative) and the greatest kernel value to a landmark."""
+    the second (of one language alone: over the value's negative) and the greatest kernel value to a landmark. Where the
+    whole is in doubt, as of a text in two languages, the margin is that of its median part if that is greater."""
+    langs, scores, margins, nearest = _judged(texts, model)
+    for i in np.flatnonzero((margins < DOUBTFUL) & (nearest > 0)):
+        words = texts[i].split()
+        if len(words) > PART:
+            parts = [" ".join(words[a : a + PART]) for a in range(0, len(words), PART)]
+            margins[i] = max(margins[i], float(np.median(_judged(parts, model)[2])))
+    return langs, scores, margins, nearest
+
+
+def _judged(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     langs, scores, margins, nearest = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model["names"] else []
     if at:
-        kernel = _kernel([texts[i] for i in at], model["landmarks"].astype(np.float32))
+        if "floats" not in model:  # once a process, not once a batch
+            model["floats"] = model["landmarks"].astype(np.float32)
+        kernel = _kernel([texts[i] for i in at], model["floats"])
         value = kernel @ model["alpha"]
         best = value.argmax(1)
         for i, k in zip(at, best):
@@ -110,14 +125,16 @@ def judge_texts(texts: list[str | None], model: dict) -> tuple[list[str], np.nda
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Fit on about `SAMPLE` rows of each language, chosen by a hash of their id; null texts or languages are skipped."""
+    """Fit on about `SAMPLE` rows of each language (all languages that occur), chosen by a hash of id and text; null texts or
+    languages are skipped. The model's size is bounded by landmarks: `LANDMARKS` in all, two a language at least."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")).where("_t is not null and _l is not null")
-    counts = rows.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(LANGUAGES).collect()
-    if not counts:
-        return fit_texts([], [])
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["_l"], min(1.0, SAMPLE / r["count"]))])
-    draw = F.pmod(F.xxhash64("_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(draw < F.coalesce(F.try_element_at(share, F.col("_l")), F.lit(0.0))).select("_t", "_l", F.xxhash64("_id", "_t").alias("_h"))
+    counts = rows.groupBy("_l").count()
+    # Rows of a language, by the least hashes of id and text: about SAMPLE lie below its share of the range, and never more than
+    # twice as many are taken, whatever rows repeat.
+    draw = F.pmod(F.xxhash64("_id", "_t", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.withColumn("_d", draw).join(F.broadcast(counts), "_l").where(F.col("_d") < SAMPLE / F.col("count"))  # a row a language
+    nth = F.row_number().over(Window.partitionBy("_l").orderBy("_d", "_t"))
+    chosen = drawn.withColumn("_n", nth).where(F.col("_n") <= 2 * SAMPLE).select("_t", "_l", F.xxhash64("_id", "_t").alias("_h"))
     got = sorted(chosen.toLocalIterator(), key=lambda r: (r["_h"], r["_l"], r["_t"]))
     return fit_texts([r["_t"] for r in got], [r["_l"] for r in got])
 

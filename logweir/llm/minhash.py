@@ -298,3 +298,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, percent=85, bands=BANDS)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(x) >= 3 THEN list_transform(range(1, len(x) - 1), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2])
+                               WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least_ AS component_id, doc_id = least_ AS kept
+FROM (SELECT a AS doc_id, min(b) AS least_ FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)
+"""

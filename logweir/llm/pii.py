@@ -3,7 +3,8 @@
 Base patterns find e-mail addresses, IPv4 addresses, card and phone numbers. Where they leave tokens with digits
 or an at sign unexplained, a semi-Markov CRF scores candidate segments of at most `LONGEST` atoms by features of
 the whole span and chooses boundaries and types jointly by dynamic programming. It is trained on the base spans of
-a bounded sample and on variants of them that the patterns do not match (no country code, dotted groups).
+a bounded sample, on variants of them that the patterns do not match (no country code, dotted groups) and on made-up
+forms: mail addresses with accents or underscores after the sign, IPv6, cards in other groups, local phone numbers, and look-alikes that are none.
 
 Null texts count as empty; places are code points, the end exclusive. Texts are read whole; repeated rows are
 labelled each for itself.
@@ -12,6 +13,7 @@ labelled each for itself.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -26,7 +28,10 @@ from logweir.llm.common import documents, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Atoms in a segment at most; documents that a fit reads at most.
-LONGEST, SAMPLE = 24, 3000
+LONGEST, SAMPLE = 40, 3000
+#: Written forms that a fit makes up, of each kind and of none.
+MADE = 60
+_HEX = frozenset("0123456789abcdefABCDEF")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -34,6 +39,8 @@ _RUN = re.compile(r"[0-9][\x20().0-9+-]*")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Code points from which on a zone is cut at its next blank: bounds what a lattice holds.
+ZONE = 400
 _TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 
@@ -95,7 +102,7 @@ def zones(text: str):
     """(start, end) of tokens with a digit or an at sign, neighbours with one blank between them taken together."""
     start = end = None
     for m in _TOKEN.finditer(text):
-        if start is not None and m.start() == end + 1 and text[end] == " ":
+        if start is not None and m.start() == end + 1 and text[end] == " " and end - start < ZONE:
             end = m.end()
             continue
         if start is not None:
@@ -140,11 +147,14 @@ def _features(atoms: list[str], i: int, j: int) -> list[int]:
         "@" in s and bool(local) and "." in domain, s.count("@") == 1 and last.isalpha() and len(last) >= 2, s.count("@") == 1 and " " not in s, s.count("@") > 1,
         i > 0 and atoms[i - 1] != " ", j < len(atoms) and atoms[j] != " ", i > 0 and atoms[i - 1] in "+(", i > 0 and atoms[i - 1] in ".-@" , j < len(atoms) and atoms[j] in ".-@(" and j + 1 < len(atoms) and atoms[j + 1][0].isalnum(),
         i > 1 and atoms[i - 1] == " " and atoms[i - 2][0].isdigit(), j + 1 < len(atoms) and atoms[j] == " " and atoms[j + 1][0] in "0123456789(+",
+        ":" in seps, "::" in s, 3 <= s.count(":") <= 7, len(seps) == 1 and ":" in seps and letters > 0, seps == {":"} and all(len(g) <= 4 and set(g) <= _HEX for g in s.split(":")),
+        "/" in seps, "," in seps, "%" in seps or "$" in seps or "#" in seps, groups == [4, 6, 5], n == 15 and luhn(digits), n == 15, groups[:1] == [4] and groups[1:3] == [2, 2], len(groups) == 3 and letters == 0, len(groups) > 3,
+        s.startswith("00") and n >= 10, s.startswith("0") and 9 <= n <= 12, n >= 9 and len(groups) >= 3 and letters == 0, " @ " in s, "_" in seps, groups[:1] == [3] and n == 10,
     )
     return [k for k, t in enumerate(tests) if t]
 
 
-FEATURES = 43
+FEATURES = 63
 
 
 def _lattice(atoms: list[str]):
@@ -233,24 +243,67 @@ def _variants(atoms: list[str], gold: list[tuple[int, int, int]]):
             yield atoms[:i] + dotted + atoms[j:], [(2, i, i + 7)]
 
 
+def _checked(digits: str) -> str:
+    """The digits with a last one that passes Luhn."""
+    return next(digits + str(k) for k in range(10) if luhn(digits + str(k)))
+
+
+def made_up(rng: random.Random):
+    """(kind or None, text) of forms that the patterns do not match, and of look-alikes that are none; without end."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    h = lambda: f"{rng.randrange(1 << 16):x}"
+    w = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7)))
+    area = lambda: str(rng.randint(2, 9)) + d(2)
+    while True:
+        card = _checked(rng.choice("45") + d(14))
+        amex = _checked("37" + d(12))
+        yield 0, f"{w()}{rng.choice(['', '.', d(2)])}@{w()}{rng.choice('äöüéñ')}{w()}.{rng.choice(['com', 'de', 'io'])}"
+        yield 0, f"{w()}.{w()}@{w()}_{w()}.{rng.choice(['com', 'org', 'net'])}"
+        yield 1, ":".join(h() for _ in range(rng.randint(5, 8)))
+        yield 1, ":".join(h() for _ in range(rng.randint(1, 3))) + "::" + ":".join(h() for _ in range(rng.randint(1, 3)))
+        yield 2, rng.choice("._/").join(card[k : k + 4] for k in range(0, 16, 4))
+        yield 2, rng.choice([f"{amex[:4]} {amex[4:10]} {amex[10:]}", f"{amex[:4]}-{amex[4:10]}-{amex[10:]}"])
+        yield 3, rng.choice([f"({area()}) {area()}-{d(4)}", f"{area()}-{area()}-{d(4)}", f"{area()}.{area()}.{d(4)}", f"{area()} {area()} {d(4)}"])
+        yield 3, rng.choice([f"00{rng.randint(30, 49)} {d(3)} {d(6)}", f"0{d(3)} {d(6)}", f"0{d(2)}-{d(7)}"])
+        for _ in range(2):
+            yield None, rng.choice([f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 40)}", f"v{rng.randint(1, 9)}.{d(1)}", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"1{d(1)}/0{rng.randint(1, 9)}/20{d(2)}"])
+            yield None, rng.choice([f"{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", f"{rng.randint(10, 23)}:{rng.randint(10, 59)}", "".join(rng.choice("0123456789abcdef") for _ in range(32)), f"id {d(7)}"])
+            yield None, rng.choice([d(rng.randint(1, 7)), d(rng.randint(20, 30)), f"${d(3)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"#{d(5)}", f"{d(2)}%", f"{w()}{d(3)}", f"{d(4)} {d(4)}", f"{w()}@{w()}"])
+
+
+def _made_examples(seed: int, n: int):
+    """(atoms, gold) of n made-up forms, alone, within a bracket or beside a number."""
+    rng = random.Random(seed)
+    for kind, text in itertools.islice(made_up(rng), n):
+        before, after = rng.choice([("", ""), ("", ""), ("(", ")"), ("", "."), ("", ","), (f"{rng.randint(1, 99)} ", "") if kind is None else ("", "")])
+        atoms, lead = _ATOM.findall(before + text + after), len(_ATOM.findall(before))
+        yield atoms, [] if kind is None else [(kind, lead, lead + len(_ATOM.findall(text)))]
+
+
 def fit_texts(texts: list[str], epochs: int = 12, rate: float = 0.5, l2: float = 1e-4, most: int = 1500) -> np.ndarray:
     """Weights by kind and feature, by stochastic gradient on the conditional likelihood; without any span they are zero but for a bias against segments."""
     w = np.zeros((len(KINDS), FEATURES))
     w[:, 0] = -2.0
     data, seen = [], set()
+
+    def learn(a: list[str], g: list[tuple[int, int, int]]) -> None:
+        segs, x = _lattice(a)
+        at = {s: r for r, s in enumerate(segs)}
+        if all((i, j) in at for _, i, j in g):
+            y = np.zeros((len(segs), len(KINDS)))
+            for k, i, j in g:
+                y[at[i, j], k] = 1
+            data.append((len(a), segs, x, y))
+
+    for a, g in _made_examples(1, 14 * MADE):
+        learn(a, g)
     for t in texts:
         for atoms, gold in _examples(t):
             key = "".join(atoms)
             if key not in seen and len(data) < most:
                 seen.add(key)
                 for a, g in _variants(atoms, gold):
-                    segs, x = _lattice(a)
-                    at = {s: r for r, s in enumerate(segs)}
-                    if all((i, j) in at for _, i, j in g):
-                        y = np.zeros((len(segs), len(KINDS)))
-                        for k, i, j in g:
-                            y[at[i, j], k] = 1
-                        data.append((len(a), segs, x, y))
+                    learn(a, g)
     if not any(y.any() for _, _, _, y in data):
         return w
     rng, squares = random.Random(0), np.full_like(w, 1e-6)

@@ -10,10 +10,10 @@ from logweir.llm.langid import op3_language_id
 from logweir.llm.linededup import OP6_SQL, op6_line_dedup
 from logweir.llm.matroska import op5_matroska
 from logweir.llm.mixing import op7_mixing
-from logweir.llm.topk import op10_top_k
+from logweir.llm.topk import OP10_SQL, op10_top_k
 from logweir.llm.toxicity import op1_toxicity
 
-from logweir.llm.minhash import op9_minhash
+from logweir.llm.minhash import OP9_SQL, op9_minhash
 
 from logweir.llm.pii import op8_pii
 
@@ -38,4 +38,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op9_minhash": OP9_SQL, "op10_top_k": OP10_SQL}

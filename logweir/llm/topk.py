@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "v
     blocks = _packed(rows.where("is_query").dropDuplicates(["id", "v"]).withColumn("b", slot(n_blocks)), "b")
     # The stated query set meets all rows block by block: each query block is sent to each slice.
     sent = blocks.select("ids", "matrix", "dims", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice")).select("slice", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dims").alias("q_dims"))
-    pairs = sent.join(slices, "slice").repartition(max(1, min(n_slices * n_blocks, 4096)), "slice", F.xxhash64("q_ids")).select("q_ids", "q_matrix", "q_dims", "ids", "matrix", "dims")
+    pairs = sent.join(slices, "slice").repartition(n_slices * n_blocks, "slice", F.xxhash64("q_ids")).select("q_ids", "q_matrix", "q_dims", "ids", "matrix", "dims")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
@@ -130,3 +130,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "v
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) q JOIN v ON q.vec_id <> v.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""

@@ -1,12 +1,15 @@
 """Toxicity: a linear classifier on the presence of character n-grams, each feature scaled by its
 naive Bayes log-count ratio, fitted on a bounded sample of labelled text.
 
-Null and empty texts have no n-grams but the text's borders and are scored all the same. Rows that
-repeat are scored each for itself; columns other than id and text are ignored.
+Null and empty texts have no n-grams and are scored by the bias alone. Rows that repeat are scored each for
+itself; columns other than id and text are ignored. Ids are integers. No rows give no rows; without labelled rows
+every score is one half.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from logweir.llm.common import batch, crc_mod, documents, slices, small_batches
 
 #: Lengths of the n-grams, in code points of the lower-cased text.
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
 #: Hash buckets of n-grams.
 BITS = 22
 #: Features that the model keeps, by strength of association with the label.
@@ -54,7 +57,7 @@ def _present(texts: list[str], chosen: np.ndarray | None = None) -> tuple[np.nda
     return found >> BITS, found & ((1 << BITS) - 1)
 
 
-def fit_texts(texts: list[str], y: np.ndarray, alpha: float = 0.5, l2: float = 1e-3, steps: int = 300) -> dict:
+def fit_texts(texts: list[str], y: np.ndarray, alpha: float = 0.5, l2: float = 1e-4, steps: int = 300) -> dict:
     """Fit on texts with labels 0 and 1. With one class alone, every score is that class's share."""
     y = np.asarray(y, np.float64)
     n1, n0 = y.sum(), (1 - y).sum()
@@ -121,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # At most sum(SAMPLE) narrow rows: small enough to broadcast whatever the corpus is.
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id").select("_t", "_y").orderBy("_t", "_y").toLocalIterator()
     texts, y = [], []
-    for t, v in rows:
+    # Rows may repeat an id: no more are read than twice the bound.
+    for t, v in itertools.islice(rows, 2 * sum(SAMPLE.values())):
         texts.append(t)
         y.append(v)
     return fit_texts(texts, np.array(y, np.int64))

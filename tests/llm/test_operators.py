@@ -231,6 +231,32 @@ def test_pii():
     assert pii.spans_of("version 3. in 2009", w) == ([], [])
 
 
+def test_pii_finds_forms_that_no_pattern_matches():
+    """Made-up forms of another seed than the fit's, within text: spans found and left alone."""
+    w = pii.fit_texts([f"call +1 ({n}) 555-{n + 1000} now, or write to a{n}@b.org from 10.0.0.{n - 100}" for n in range(200, 260)])
+    hits = extra = lost = 0
+    for kind, form in itertools.islice(pii.made_up(random.Random(77)), 1400):
+        text = f"see {form} now"
+        if kind is not None and any(s < 4 + len(form) and e > 4 for _, s, e in pii.base_spans(text)):
+            continue
+        want = set() if kind is None else {(kind, 4, 4 + len(form))}
+        got = set(pii.spans_of(text, w)[1])
+        hits, extra, lost = hits + len(got & want), extra + len(got - want), lost + len(want - got)
+    assert hits >= 0.95 * (hits + extra) and hits >= 0.95 * (hits + lost)
+
+
+def test_pii_query_columns(spark, empty):
+    w = pii.fit_texts([])
+    rows = [(1, "a@b.org 10.0.0.1, 4111111111111111, +1 555 123 4567"), (2, None), (None, "x"), (3, "12 34 " * 4000), (1, "a@b.org")]
+    df = spark.createDataFrame([(i, t, None, None, 0, 9, "clash") for i, t in rows], SCHEMA)
+    out = sorted(pii.find(df, w).collect(), key=lambda r: (r.doc_id or 0, -r.n_ip))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    base = "email:0:7,ip:8:16,card:18:34,phone:36:51"
+    assert [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in out] == [(None, 0, 0, 0, 0), (1, 1, 1, 1, 1), (1, 1, 0, 0, 0), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
+    assert [r.base_sha256 for r in out] == [sha(""), sha(base), sha("email:0:7"), sha(""), sha("")] and out[1].spans == base
+    assert pii.find(empty, w).count() == 0
+
+
 def test_toxicity_and_language(spark, docs, empty):
     rng = random.Random(2)
     clean, bad = [words(rng, 30) for _ in range(60)], [words(rng, 15) + " nasty wretch " + words(rng, 15) for _ in range(60)]

@@ -1,12 +1,14 @@
 """Operators cover all rows: repeated and null ids with different texts, and texts of no known language."""
 
+import hashlib
 import itertools
 import random
+import zlib
 
 import duckdb
 from pyspark.sql import functions as F
 
-from logweir.llm import linededup, minhash, stages
+from logweir.llm import langid, linededup, minhash, stages, toxicity
 
 LINE = "A line that many documents share, word for word."
 
@@ -58,3 +60,49 @@ def test_language_stage_rejects_gibberish_and_unlearned_languages(spark):
     passed = stages.language(spark, unlearned, "").select("doc_id").collect()
     french = {i for i, x in stated.items() if x == "fr"}
     assert sum(r.doc_id in french for r in passed) <= 0.05 * len(french)
+
+
+def test_language_stage_keeps_texts_in_two_learned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*stages.COLUMNS)
+    rows = docs.where("lang is not null and n_chars between 800 and 3000").orderBy("doc_id").limit(60).collect()
+    mixed = [(20_000_000 + i, a.text + "\n" + b.text, None, "s", 0) for i, (a, b) in enumerate(zip(rows, rows[1:])) if a.lang != b.lang]
+    both = docs.unionByName(spark.createDataFrame(mixed, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = stages.language(spark, both, "").where("doc_id >= 20000000").count()
+    assert len(mixed) > 10 and kept >= 0.95 * len(mixed)
+
+
+def test_near_duplicate_stage_keeps_one_of_each_group(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(80))
+    a, b, c = text(), text(), text()
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (1, a), (1, c), (2, near), (3, a), (4, b), (None, a), (None, a), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0), r.text or "") for r in stages.near_duplicates(spark, docs, "").collect())
+    assert got == sorted([(1, a), (1, c), (4, b), (0, a), (0, a), (5, ""), (6, "")])
+
+
+def test_line_stage_and_token_stage(spark):
+    rows = [(i, f"own {i}\n{LINE}") for i in range(6)] + [(7, None), (8, ""), (9, f"x ▁\t{LINE}")]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in stages.lines(spark, docs, "").collect()}
+    assert got == {**{i: (f"own {i}", 5) for i in range(5)}, 5: (f"own 5\n{LINE}", 6 + len(LINE)), 7: ("", 0), 8: ("", 0), 9: (rows[-1][1], 4 + len(LINE))}
+    out = {r.doc_id: (r.n_chars, r.decoded_sha256) for r in stages.tokens(spark, docs, "").collect()}
+    assert out == {i: (len(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+
+
+def test_held_out_rows_of_the_fitted_queries(spark):
+    """Toxicity and language ID by their queries: rows held out by crc32 are never learned from, and are got right."""
+    sf = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = langid.op3_language_id(spark, sf).collect()
+    held = [r for r in out if r.held_out]
+    assert len(out) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in out)
+    stated = [r for r in held if docs[r.doc_id].lang is not None]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in stated) >= 0.985 * len(stated)
+    out = toxicity.op1_toxicity(spark, sf).collect()
+    assert len(out) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in out)
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    pairs = [(r.predicted, toxic[r.doc_id]) for r in out if r.held_out and toxic.get(r.doc_id) is not None]
+    caught, bad, said = sum(p and t for p, t in pairs), sum(t for _, t in pairs), sum(p for p, _ in pairs)
+    assert caught >= 0.85 * bad and caught >= 0.95 * said
