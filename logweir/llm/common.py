@@ -34,12 +34,15 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder that the cluster names for checkpoints; a temporary one only where none is set and driver and executors
+    are one process. On a cluster without a setting it raises: executors would not share a folder of one machine."""
     set_ = spark.conf.get("spark.checkpoint.dir", None)
     if not set_:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         set_ = tempfile.mkdtemp(prefix="logweir-checkpoint-")
         spark.sparkContext.setCheckpointDir(set_)
     return set_

@@ -42,6 +42,8 @@ FEW = 16
 LEAST = 512
 #: Ids up to which a semi join broadcasts them, about 32 MB; beyond, both sides are shuffled.
 SENT = 1_000_000
+#: A class is hot with more than one in so many rows: fewer than so many are, and those are broadcast.
+HOT_SHARE = 1000
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 5.0
 
@@ -113,9 +115,18 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, ban
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("w"), F.col(text_col).alias("t")).mapInArrow(run, "id long, w long, n long, same binary, sig binary, bands array<long>")
 
 
-def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Those rows whose w is in `wanted`, without shuffling the rows where few enough are wanted."""
-    return rows.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "w", "left_semi")
+def _among(rows: DataFrame, wanted: DataFrame, key: str = "w") -> DataFrame:
+    """Those rows whose key is in `wanted`, without shuffling the rows where few enough are wanted."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, key, "left_semi")
+
+
+def _by_class(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """rows (which have `same`) with the columns of their class. classes: same, copies and more. Hot classes are broadcast, as
+    all their rows would meet in one task; the rows of the others are shuffled."""
+    hot = F.col("copies") > max(1, total / HOT_SHARE)
+    few = F.broadcast(classes.where(hot).drop("copies"))
+    rest = rows.join(few.select("same"), "same", "left_anti").join(classes.where(~hot).drop("copies"), "same")
+    return rows.join(few, "same").unionByName(rest)
 
 
 def _sets_of(wanted: DataFrame, pool: DataFrame, *, shingle: int, most: int | None = None) -> DataFrame:
@@ -188,14 +199,16 @@ def components(edges: DataFrame) -> DataFrame:
             p = jumped.select("u", "p")
             if done:
                 break
-        if total is None:
-            total = p.select(F.col("u").alias("id"), F.col("p").alias("root"))
+        before = total
+        if before is None:
+            total = stored(p.select(F.col("u").alias("id"), F.col("p").alias("root")))
         else:
-            total = total.join(p.select(F.col("u").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root"))
-        total = stored(total)
+            total = stored(before.join(p.select(F.col("u").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root")))
+            discard(before)
         x, y = p.select("u", F.col("p").alias("pu")), p.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         rest = stored(left.join(x, "u").join(y, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
         discard(left)
+        discard(p)
         left = rest
     return total if total is not None else left.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
@@ -205,19 +218,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession, 256)
     table = stored(signatures(docs, id_col=id_col, text_col=text_col, shingle=shingle, bands=bands))
     known = table.where("n > 0 and id is not null")
-    head = known.groupBy("same").agg(F.min("id").alias("rep"), F.min("w").alias("w"))
-    # Links between equal sets need no confirming: each member hangs on the smallest id of its class.
-    members = known.select("id", "same").join(head, "same").select("id", "rep")
-    # One text stands for a class until its links are found; `rep_of` leads back from it to the id.
-    reps = known.drop("id").join(head.select("same", "w"), ["same", "w"]).dropDuplicates(["same"]).withColumnRenamed("w", "id")
-    rep_of = head.select("w", "rep")
-    keys = stored(reps.select("id", F.explode("bands").alias("key")))
+    # A third of all rows may be copies of one text: they are brought together before they are shuffled. One text stands for
+    # a class until its links are found; `rep`, the smallest id, leads back from it to the ids.
+    one = F.min_by(F.struct("w", "n", "sig", "bands"), "w")
+    classes = stored(known.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), one.alias("one")).select("same", "rep", "copies", "one.*"))
+    total = classes.agg(F.sum("copies").alias("n")).first()["n"] or 0
+    rep_of = classes.select("w", "rep")
+    keys = stored(classes.select(F.col("w").alias("id"), F.explode("bands").alias("key")))
     large = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = stored(keys.join(large, "key"))
     discard(keys)
     # The texts that any later step can ask for.
     pool = stored(_among(docs.select(F.xxhash64(text_col).alias("w"), F.col(text_col).alias("t")), shared.select(F.col("id").alias("w")).distinct()))
-    sig = reps.select("id", "n", "sig")
+    sig = classes.select(F.col("w").alias("id"), "n", "sig")
     least, width = _least(percent / 100, SKETCH), SKETCH * BITS // 8
 
     def near(batches):
@@ -227,8 +240,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(estimate(x, y) >= least))
 
     how = {"shingle": shingle, "percent": percent}
-    equal = members.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links, tested, placed = None, None, shared.withColumn("root", F.col("id"))
+    links, tested, placed, spent = None, None, shared.withColumn("root", F.col("id")), [shared, pool]
     for pick in (F.min, F.max, lambda x: F.min_by(x, F.xxhash64(x))):
         # Each document that shares a bucket with another component meets one member of one such.
         pivot = placed.groupBy("key").agg(pick(F.struct("id", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "p")
@@ -239,7 +251,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = _confirmed(pairs, pool, **how)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        placed = shared.join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "m", "root")
+        joined = components(links)
+        spent.append(joined)
+        placed = shared.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "m", "root")
     # Last, all members of one bucket that are still apart.
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
@@ -289,10 +303,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     more = stored(met.select("g").mapInArrow(across, "a long, b long, sure boolean").distinct())
     rest = stored(more.where("not sure").select("a", "b").join(tested, ["a", "b"], "left_anti"))
-    linked = links.union(more.where("sure").select("a", "b")).union(_confirmed(rest, pool, **how))
+    last = _confirmed(rest, pool, **how)
+    linked = links.union(more.where("sure").select("a", "b")).union(last)
     linked = linked.join(rep_of.toDF("a", "ra"), "a").join(rep_of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    roots = components(linked.union(equal))
-    out = table.select("id", "n").join(roots, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    # Ids with texts of several classes link these; all others go by their class.
+    digest = F.xxhash64("same")
+    several = known.groupBy("id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("id")
+    bridges = _by_class(_among(known.select("id", "same"), several, "id").distinct(), classes.select("same", "copies", "rep"), total)
+    roots = components(linked.union(bridges.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))))
+    homes = stored(classes.select("same", "copies", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", "copies", F.coalesce("root", "rep").alias("root")))
+    for frame in (*spent, links, tested, open_, low, more, rest, last, roots):
+        discard(frame)
+    found = _by_class(known.select("id", "n", "same"), homes, total).select("id", "n", "root")
+    # Rows without words go with the other texts of their id, if it has any.
+    bare = table.where("n = 0 and id is not null").select("id", "n")
+    others = _by_class(_among(known.select("id", "same"), bare.select("id").distinct(), "id"), homes, total).groupBy("id").agg(F.min("root").alias("root"))
+    out = found.unionByName(bare.join(others, "id", "left")).unionByName(table.where("id is null").select("id", "n", F.lit(None).cast("long").alias("root")))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

@@ -106,3 +106,16 @@ def test_held_out_rows_of_the_fitted_queries(spark):
     pairs = [(r.predicted, toxic[r.doc_id]) for r in out if r.held_out and toxic.get(r.doc_id) is not None]
     caught, bad, said = sum(p and t for p, t in pairs), sum(t for _, t in pairs), sum(p for p, _ in pairs)
     assert caught >= 0.85 * bad and caught >= 0.95 * said
+
+
+def test_near_duplicates_of_hot_classes_and_bare_rows(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(80))
+    a, b = text(), text()
+    near = a.rsplit(" ", 1)[0] + " changed"
+    # A third of the rows are copies of one text; one of these ids has a second text, and others rows without words.
+    rows = [(i, a) for i in range(100, 160)] + [(i, text()) for i in range(200, 320)] + [(7, near), (130, b), (3, b), (140, ""), (141, None), (2, " "), (None, a), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85, bands=24).collect())
+    joined = {*range(100, 160), 7, 3}
+    size = lambda t: len({tuple((t or "").split()[k : k + 3]) for k in range(78)}) if (t or "").strip() else 0
+    assert got == sorted((i or 0, size(t), 3 if i in joined else i or 0, i is None or i not in joined or i == 3) for i, t in rows)
