@@ -244,6 +244,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for pick in (F.min, F.max, lambda x: F.min_by(x, F.xxhash64(x))):
         # Each document that shares a bucket with another component meets one member of one such.
         pivot = placed.groupBy("key").agg(pick(F.struct("id", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", "p")
+        # Written, so that the join below reads plain shuffles, whose skewed parts the engine can split at a hot key.
+        pivot = stored(pivot)
+        spent.append(pivot)
         pairs = placed.join(pivot, "key").where(F.col("root") != F.col("p.root")).groupBy("id").agg(F.min("p.id").alias("p"))
         pairs = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
@@ -256,6 +259,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         placed = shared.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "m", "root")
     # Last, all members of one bucket that are still apart.
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    apart = stored(apart)
+    spent.append(apart)
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     open_ = stored(placed.join(apart, "key").withColumn("t", F.pmod(F.xxhash64("id"), tiles).cast("int")))
     low = _sets_of(open_.where(F.col("m") > FEW).select(F.col("id").alias("w")).distinct(), pool, shingle=shingle, most=LEAST)
