@@ -9,7 +9,8 @@ All draws are hashes of stated seeds, so reruns agree.
 
 Null texts have size 0 and are taken 0 times; a null source is a source of its own; rows that share an id are
 documents of their own as long as their text or source differs, and are else told apart by a running number.
-Where all sizes are 0 all targets are 0. The table of sources is held by the driver and broadcast: a row a source,
+Where all sizes are 0 all targets are 0. Each step's numbers are written, so that no query holds the plans of all of
+them: the driver plans a query anew after each of its stages. The table of sources is held by the driver and broadcast: a row a source,
 never one a document. Columns other than id, text and source are ignored. No rows give no rows.
 """
 
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import WORD, documents, n_words, parallelism, stored
+from logweir.llm.common import WORD, discard, documents, n_words, parallelism, stored
 
 #: Words in a block; slots in a shard.
 BLOCK, SLOTS = 32, 2048
@@ -102,12 +103,14 @@ def laid_out(docs: DataFrame, *, id_col: str, text_col: str, source_col: str) ->
     sums = rows.groupBy("_source", "_bundle").agg(F.sum("_size").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_bundle").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("_source").alias("_s"), F.col("_bundle").alias("_b"), F.coalesce("_before", F.lit(0)).alias("_before"))
     within = Window.partitionBy("_source", "_bundle").orderBy("_order", "_id")
-    return (
+    out = stored(
         rows.withColumn("_within", F.coalesce(F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_nth", F.row_number().over(within))
         .join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bundle") == F.col("_b")))
         .select("_id", "_source", "_size", "_order", "_bundle", "_nth", (F.col("_before") + F.col("_within")).alias("_begins"))
     )
+    discard(rows)
+    return out
 
 
 def running(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -140,8 +143,9 @@ def slots(spark: SparkSession, sizes: list[tuple[str | None, int]], wanted: dict
     sources = F.broadcast(spark.createDataFrame(table, "s int, n long, due long, a long, b long"))  # a row a source
     draws = spark.range(total - closing).select("id", F.floor(F.col("id") / SLOTS).alias("shard"), F.pmod(F.xxhash64("id", F.lit("cell"), F.lit(_SEED)), F.lit(len(cells))).alias("cell"))
     draws = draws.join(F.broadcast(drawn_from), "cell").select("shard", F.when(_unit("id") < F.col("cut"), F.col("own")).otherwise(F.col("other")).alias("s"))
-    counts = draws.groupBy("shard", "s").agg(F.count("*").alias("n"))
-    counts = running(counts.withColumnRenamed("n", "m"), "s", "shard", "m").where("m > 0")
+    drawn = stored(draws.groupBy("shard", "s").agg(F.count("*").alias("m")))
+    counts = stored(running(drawn, "s", "shard", "m").where("m > 0"))
+    discard(drawn)
     got = counts.groupBy("s").agg(F.sum("m").alias("got"))
     first = math.ceil((total - closing) / SLOTS)
     left = sources.join(got, "s", "left").select("s", F.coalesce("got", F.lit(0)).alias("got"), (F.col("due") - F.coalesce("got", F.lit(0))).alias("left")).where("left > 0")
@@ -168,12 +172,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     have = dict(sizes)
     table = spark.createDataFrame([(s, i, have[s], float(wanted[s])) for i, s in enumerate(order)], "_s string, s int, source_size long, target double")
     placed = placed.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    drawn = slots(spark, sizes, wanted, block).groupBy("s", "block").agg(F.count("*").alias("times"))
+    drawn = stored(slots(spark, sizes, wanted, block).groupBy("s", "block").agg(F.count("*").alias("times")))
     key = ["_id", "_order", "_bundle", "_nth", "s"]
     ends = F.col("_begins") + F.col("_size")
     touched = placed.where("_size > 0").select(*key, "_begins", ends.alias("_ends"), F.explode(F.sequence(F.floor(F.col("_begins") / block), F.floor((ends - 1) / block))).alias("block"))
     overlap = F.least("_ends", (F.col("block") + 1) * block) - F.greatest("_begins", F.col("block") * block)
-    taken = touched.join(drawn, ["s", "block"]).groupBy("_order", "_bundle", "_nth", "s").agg(F.sum(overlap * F.col("times")).alias("taken"), F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("times"))
+    taken = stored(touched.join(drawn, ["s", "block"]).groupBy("_order", "_bundle", "_nth", "s").agg(F.sum(overlap * F.col("times")).alias("taken"), F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("times")))
+    discard(drawn)
     back = placed.join(taken, ["_order", "_bundle", "_nth", "s"], "left")
     return back.select("_id", "_source", "_size", "_order", "_begins", "_bundle", "_nth", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "times")
 
